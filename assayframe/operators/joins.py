@@ -15,7 +15,7 @@ def _bare(df: DataFrame, keys: Sequence[str], tag: str) -> DataFrame:
 
 
 def _on(keys: Sequence[str], tag: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{tag}_{k}")) for k in keys])
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{tag}_{k}")) for k in keys] or [F.lit(True)])
 
 
 def add_covariates(facts: DataFrame, covariates: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -37,9 +37,7 @@ def read_table(
         schema = types
     else:
         names = [n or row_key for n in _names(_header(spark, path), sep)]
-        schema = T.StructType()
-        for n in names:
-            schema = schema.add(n, types.get(n, "string"))
+        schema = ", ".join(f"`{n}` {types.get(n, 'string')}" for n in names)
     return (
         spark.read.schema(schema)
         .option("header", True)
