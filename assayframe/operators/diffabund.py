@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from assayframe.functions.columns import round_half_even
 from assayframe.functions.tails import f_quantile, normal_p_value
@@ -23,7 +24,7 @@ from assayframe.operators.joins import _bare, _on, attach_group_values
 from assayframe.operators.ranking import (
     BUCKET_ROWS, bh_adjust, exact_median, exact_quantiles, running_counts, value_table,
 )
-from assayframe.session import durable, ship
+from assayframe.session import durable, ship, small_table
 
 #: Dense cells (features x samples) one fitting task may hold.
 TASK_CELLS = 2_000_000
@@ -174,7 +175,7 @@ def dispersion_trend(points: DataFrame, strata: Sequence[str], mean: str = "base
         open_ = {k: v for k, v in state.items() if not v[2]}
         if not open_:
             break
-        now = spark.createDataFrame([(*k, v[0], v[1]) for k, v in open_.items()], fields)
+        now = small_table(spark, [(*k, v[0], v[1]) for k, v in open_.items()], fields)
         fit = F.col("__a0") + F.col("__a1") * x
         w = F.when((y / fit > 1e-4) & (y / fit < 15), 1 / (fit * fit)).otherwise(0.0)
         sums = (
@@ -195,10 +196,10 @@ def dispersion_trend(points: DataFrame, strata: Sequence[str], mean: str = "base
             if a0 <= 0 or a1 <= 0:
                 state[key] = (r["flat"], 0.0, True)
                 continue
-            still = abs(math.log(a0 / old0)) + abs(math.log(a1 / old1)) < 1e-9
+            still = abs(math.log(a0 / old0)) + abs(math.log(a1 / old1)) < 1e-7
             state[key] = (a0, a1, still)
     out = T.StructType([points.schema[k] for k in strata]).add("a0", "double").add("a1", "double")
-    return spark.createDataFrame([(*k, v[0], v[1]) for k, v in state.items()], out)
+    return small_table(spark, [(*k, v[0], v[1]) for k, v in state.items()], out)
 
 
 def dispersion_prior(points: DataFrame, trend: DataFrame, strata: Sequence[str], n_samples: DataFrame,
@@ -217,7 +218,7 @@ def dispersion_prior(points: DataFrame, trend: DataFrame, strata: Sequence[str],
         for r in known.collect()
     ]
     schema = T.StructType([points.schema[k] for k in keys]).add("resid_var", "double").add("prior_var", "double")
-    return points.sparkSession.createDataFrame(rows, schema)
+    return small_table(points.sparkSession, rows, schema)
 
 
 def wald_statistics(df: DataFrame, lfc: str = "log2FoldChange", se: str = "lfcSE", outlier: str | None = None) -> DataFrame:
@@ -248,7 +249,7 @@ def nb_wald(
     bins = _fit_bins(packed)
 
     out1 = T.StructType([packed.schema[c] for c in packed.columns]).add("base_mean", "double").add("disp_gene", "double")
-    gene = durable(_binned(packed, sized, bins, strata).applyInArrow(_gene_task(packed.columns, _arrow(out1)), out1))
+    gene = durable(_binned(packed, sized, bins, strata).applyInArrow(_gene_task(packed.columns, to_arrow_schema(out1)), out1))
 
     points = gene.filter(F.col("disp_gene") > nbfit.FIT_DISP).select(*strata, "base_mean", "disp_gene")
     trend = dispersion_trend(points, strata)
@@ -271,16 +272,10 @@ def nb_wald(
         .add("baseMean", "double").add("dispersion", "double").add("log2FoldChange", "double").add("lfcSE", "double")
         .add("converged", "boolean").add("max_cook", "double").add("cook_outlier", "boolean")
     )
-    fits = _binned(gene, full_plan, bins, strata).applyInArrow(_wald_task(strata, _arrow(out2)), out2)
+    fits = _binned(gene, full_plan, bins, strata).applyInArrow(_wald_task(strata, to_arrow_schema(out2)), out2)
     return durable(wald_statistics(fits, outlier="cook_outlier"))
 
 
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def rejections_by_cutoff(
     df: DataFrame, p: str, filter_by: str, alpha: float, family: Sequence[str] = (), steps: int = 50,
     bucket_rows: int = BUCKET_ROWS,

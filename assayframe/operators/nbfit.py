@@ -261,7 +261,7 @@ def smooth(x: np.ndarray, y: np.ndarray, share: float = 0.2, rounds: int = 3) ->
                 fit[i] += (x[i] - mid) * (near * (x - mid) * y).sum() / spread
         rest = np.abs(y - fit)
         scale = 6 * np.median(rest)
-        if it == rounds or scale < 1e-7 * rest.mean() or scale == 0:
+        if it == rounds or scale < 1e-7 * rest.mean() or scale <= 1e-12 * np.abs(y).max():
             break
         ratio = rest / scale
         weight = np.where(ratio <= 0.001, 1.0, np.where(ratio <= 0.999, (1 - ratio**2) ** 2, 0.0))

@@ -6,8 +6,11 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Settings that suit any size of run; everything else is left to the cluster.
 DEFAULTS = {
@@ -76,3 +79,10 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/assayframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """A few driver-side rows (parameters, one row per stratum) as a table without a job of its own."""
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
