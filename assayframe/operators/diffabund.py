@@ -145,9 +145,12 @@ def _wald_task(strata: list[str], schema: pa.Schema):
     return run
 
 
-def _fit_bins(packed: DataFrame) -> int:
-    cells = packed.agg(F.count(F.lit(1)), F.max("n_samples")).head()
-    return max(1, math.ceil(cells[0] * (cells[1] or 1) / TASK_CELLS), min(cells[0] // 64, packed.sparkSession.sparkContext.defaultParallelism))
+def _fit_bins(packed: DataFrame, strata: Sequence[str]) -> int:
+    """Bins per stratum: enough for the largest stratum to keep a task within ``TASK_CELLS``."""
+    sizes = packed.groupBy(*strata).agg(F.count(F.lit(1)).alias("f"), F.max("n_samples").alias("n"))
+    most, cells, count = sizes.agg(F.max("f"), F.max(F.col("f") * F.col("n")), F.count(F.lit(1))).head()
+    spare = packed.sparkSession.sparkContext.defaultParallelism // max(count, 1)
+    return max(1, math.ceil((cells or 1) / TASK_CELLS), min((most or 0) // 64, spare))
 
 
 def _binned(packed: DataFrame, plan: DataFrame, bins: int, strata: Sequence[str]):
@@ -246,7 +249,7 @@ def nb_wald(
     lacking = sized.filter("size_factor IS NULL").limit(1).collect()
     if lacking:
         raise ValueError(f"no feature is counted in every sample of the stratum of {lacking[0]['sample']!r}: size factors are undefined")
-    bins = _fit_bins(packed)
+    bins = _fit_bins(packed, strata)
 
     out1 = T.StructType([packed.schema[c] for c in packed.columns]).add("base_mean", "double").add("disp_gene", "double")
     gene = durable(_binned(packed, sized, bins, strata).applyInArrow(_gene_task(packed.columns, to_arrow_schema(out1)), out1))

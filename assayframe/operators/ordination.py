@@ -5,7 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from assayframe.operators.ranking import BUCKET_ROWS, _bucketed, running_counts, value_table
+from assayframe.session import durable, ship
 
 
 def group_ellipse(df: DataFrame, groups: Sequence[str], x: str, y: str, conf: float = 0.95) -> DataFrame:
@@ -29,3 +34,165 @@ def group_ellipse(df: DataFrame, groups: Sequence[str], x: str, y: str, conf: fl
         (F.sqrt(F.greatest(mid - gap, F.lit(0.0))) * F.lit(radius)).alias("half_short"),
         (F.atan2(2 * c, a - b) / 2).alias("angle"),
     )
+
+
+def _pool(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Group number of each value after pooling adjacent violators, so that group means do not fall."""
+    sums, sizes, counts = [], [], []
+    for v, w in zip(values * weights, weights):
+        sums.append(v)
+        sizes.append(w)
+        counts.append(1)
+        while len(sums) > 1 and sums[-2] * sizes[-1] > sums[-1] * sizes[-2]:
+            s, z, c = sums.pop(), sizes.pop(), counts.pop()
+            sums[-1] += s
+            sizes[-1] += z
+            counts[-1] += c
+    return np.repeat(np.arange(len(counts)), counts)
+
+
+def _pool_pairs(pairs: pd.DataFrame) -> pd.DataFrame:
+    pairs = pairs.sort_values(["dist", "d"], kind="stable")
+    d = pairs["d"].to_numpy(dtype=float)
+    group = _pool(d, np.ones(len(d)))
+    return pairs.assign(block=group.astype(np.int64), local_fit=(np.bincount(group, d) / np.bincount(group))[group])
+
+
+def _pool_blocks(blocks: pd.DataFrame) -> pd.DataFrame:
+    blocks = blocks.sort_values("pos", kind="stable")
+    group = _pool((blocks["s"] / blocks["w"]).to_numpy(), blocks["w"].to_numpy(dtype=float))
+    first = blocks["pos"].to_numpy()[np.r_[True, np.diff(group) > 0]]
+    return blocks.assign(to=first[group])[["strata", "pos", "to"]]
+
+
+def _merge_blocks(blocks: DataFrame, task_rows: int) -> DataFrame:
+    """Pool blocks across buckets: ``(strata, pos, root)``, exact for any number of blocks.
+
+    Pooling adjacent violators in any order leads to the same result. While there are too many blocks for
+    one task they are pooled in runs of neighbours, the runs shifted by half each round; once
+    a round with few blocks left, or no violation anywhere, is reached the result is final.
+    """
+    schema = "strata string, pos long, to long"
+    roots = durable(blocks.select("strata", "pos", F.col("pos").alias("root")))
+    current = blocks.select("strata", "pos", "s", "w")
+    quiet = 0
+    for round_ in range(10_000):
+        numbered = running_counts(value_table(current, "pos", ["strata"], {"s": F.sum("s"), "w": F.sum("w")}), "pos", ["strata"], task_rows)
+        single = (numbered.agg(F.max("total")).head()[0] or 0) <= task_rows
+        shift = 0 if single or round_ % 2 == 0 else task_rows // 2
+        run = F.lit(0) if single else F.floor((F.col("before") + shift) / task_rows)
+        moved = durable(numbered.select("strata", "pos", "s", "w", run.alias("run")).groupBy("strata", "run").applyInPandas(_pool_blocks, schema))
+        changed = moved.filter("pos != to").limit(1).count()
+        if changed:
+            step = moved.withColumnsRenamed({"strata": "__m_strata", "pos": "__m_pos"})
+            roots = durable(roots.join(step, (F.col("strata") == F.col("__m_strata")) & (F.col("root") == F.col("__m_pos"))).select(
+                "strata", "pos", F.col("to").alias("root")))
+            current = durable(current.join(moved, ["strata", "pos"]).groupBy("strata", F.col("to").alias("pos")).agg(F.sum("s").alias("s"), F.sum("w").alias("w")))
+        quiet = 0 if changed else quiet + 1
+        if single or quiet == 2:
+            return roots
+    raise RuntimeError("pooling did not settle")
+
+
+def monotone_fit(pairs: DataFrame, buckets: int, task_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add ``fit``: the least-squares monotone regression of ``d`` on the order of ``dist``, per ``strata``.
+
+    Pairs with equal ``dist`` are ordered by ``d``. ``pairs`` carries ``bucket``, ordered parts of the
+    ``dist`` range small enough for a task; each is pooled by itself, then blocks are pooled across buckets.
+    """
+    fields = T.StructType([pairs.schema[c] for c in pairs.columns]).add("block", "long").add("local_fit", "double")
+    local = pairs.groupBy("strata", "bucket").applyInPandas(_pool_pairs, fields)
+    if buckets == 1:
+        return local.withColumnRenamed("local_fit", "fit").drop("block")
+    local = durable(local.drop("local_fit"))
+    pos = F.col("bucket").cast("long") * F.lit(1 << 40) + F.col("block")
+    blocks = durable(local.groupBy("strata", pos.alias("pos")).agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("w")))
+    roots = _merge_blocks(blocks, task_rows)
+    sums = roots.join(blocks, ["strata", "pos"]).groupBy("strata", "root").agg((F.sum("s") / F.sum("w")).alias("fit"))
+    fits = roots.join(sums, ["strata", "root"]).select(F.col("strata").alias("__strata"), F.col("pos").alias("__pos"), "fit")
+    placed = local.withColumn("__at", pos)
+    return placed.join(fits, (F.col("strata") == F.col("__strata")) & (F.col("__at") == F.col("__pos")), "left").drop("__strata", "__pos", "__at", "block")
+
+
+def _pivot_axis(both: DataFrame, names: DataFrame, axis: str) -> DataFrame:
+    """One FastMap axis: projection on the line from the first sample to the one farthest from it."""
+    start = names.groupBy("strata").agg(F.min("sample").alias("p1"))
+    from_p1 = both.join(start, "strata").filter("s = p1").select("strata", "p1", F.col("o").alias("sample"), F.col("sq").alias("sq1"))
+    far = from_p1.groupBy("strata").agg(F.max_by(F.struct("sample", "sq1"), F.struct("sq1", "sample")).alias("m")).select(
+        "strata", F.col("m.sample").alias("p2"), F.col("m.sq1").alias("sq12"))
+    from_p2 = both.join(far, "strata").filter("s = p2").select("strata", F.col("o").alias("sample"), F.col("sq").alias("sq2"))
+    spots = (
+        names.join(start, "strata").join(far, "strata")
+        .join(from_p1.select("strata", "sample", "sq1"), ["strata", "sample"], "left")
+        .join(from_p2, ["strata", "sample"], "left")
+    )
+    sq1, sq2 = F.coalesce("sq1", F.lit(0.0)), F.coalesce("sq2", F.lit(0.0))
+    along = F.try_divide(sq1 + F.col("sq12") - sq2, 2 * F.sqrt("sq12"))
+    return spots.select("strata", "sample", F.coalesce(along, F.lit(0.0)).alias(axis))
+
+
+def _with_distance(pairs: DataFrame, coords: DataFrame) -> DataFrame:
+    for side in ("a", "b"):
+        c = coords.select(F.col("strata"), F.col("sample").alias(f"sample_{side}"), F.col("x").alias(f"x{side}"), F.col("y").alias(f"y{side}"))
+        pairs = pairs.join(c, ["strata", f"sample_{side}"])
+    dx, dy = F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")
+    return pairs.withColumn("d", F.sqrt(dx * dx + dy * dy))
+
+
+def nonmetric_scaling(
+    pairs: DataFrame,
+    steps: int = 20,
+    strata: Sequence[str] = (),
+    task_rows: int = BUCKET_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Two-dimensional non-metric scaling of a pair table by a fixed number of majorisation steps.
+
+    Returns ``(strata, sample, axis1, axis2)``, centred and turned to its principal axes, and
+    ``(strata, step, stress)`` with one row per step. Each step joins the coordinates to the pairs, fits the
+    monotone regression, and moves every sample by one aggregation. The start is a FastMap projection, so the
+    result is repeatable; there are no random restarts.
+    """
+    ship(pairs.sparkSession)
+    key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in strata]) if strata else F.lit("")
+    named = pairs.filter("dist IS NOT NULL").select(key.alias("strata"), *strata, "sample_a", "sample_b", F.round("dist", 12).alias("dist"))
+    lookup = named.select("strata", *strata).distinct()
+    bucketed, buckets = _bucketed(named.drop(*strata), "dist", task_rows)
+    base = durable(bucketed)
+
+    both = base.select("strata", F.inline(F.array(
+        F.struct(F.col("sample_a").alias("s"), F.col("sample_b").alias("o"), (F.col("dist") ** 2).alias("sq")),
+        F.struct(F.col("sample_b").alias("s"), F.col("sample_a").alias("o"), (F.col("dist") ** 2).alias("sq")))))
+    names = durable(both.select("strata", F.col("s").alias("sample")).distinct())
+    x = durable(_pivot_axis(both, names, "x"))
+    gap = (
+        both.join(x.select("strata", F.col("sample").alias("s"), F.col("x").alias("xs")), ["strata", "s"])
+        .join(x.select("strata", F.col("sample").alias("o"), F.col("x").alias("xo")), ["strata", "o"])
+        .withColumn("sq", F.greatest(F.col("sq") - (F.col("xs") - F.col("xo")) ** 2, F.lit(0.0)))
+    )
+    coords = durable(x.join(_pivot_axis(gap.select("strata", "s", "o", "sq"), names, "y"), ["strata", "sample"]))
+
+    trace = None
+    for step in range(steps + 1):
+        placed = _with_distance(base, coords)
+        # The fit is scaled to the spread of the distances, so that the map cannot shrink to a point.
+        fitted = durable(monotone_fit(placed.select("strata", "bucket", "sample_a", "sample_b", "dist", "xa", "ya", "xb", "yb", "d"), buckets, task_rows))
+        sums = fitted.groupBy("strata").agg(
+            F.sum((F.col("d") - F.col("fit")) ** 2).alias("off"), F.sum(F.col("d") ** 2).alias("dd"), F.sum(F.col("fit") ** 2).alias("ff"))
+        now = sums.select("strata", F.lit(step).alias("step"), F.sqrt(F.try_divide("off", "dd")).alias("stress"))
+        trace = now if trace is None else trace.unionByName(now)
+        if step == steps:
+            break
+        scale = sums.select("strata", F.sqrt(F.try_divide("dd", "ff")).alias("k"))
+        pull = F.coalesce(F.try_divide(F.col("fit") * F.col("k"), F.col("d")), F.lit(0.0))
+        dx, dy = (F.col("xa") - F.col("xb")) * pull, (F.col("ya") - F.col("yb")) * pull
+        moves = fitted.join(scale, "strata").select("strata", F.inline(F.array(
+            F.struct(F.col("sample_a").alias("sample"), dx.alias("mx"), dy.alias("my")),
+            F.struct(F.col("sample_b").alias("sample"), (-dx).alias("mx"), (-dy).alias("my")))))
+        coords = durable(moves.groupBy("strata", "sample").agg(
+            (F.sum("mx") / (F.count(F.lit(1)) + 1)).alias("x"), (F.sum("my") / (F.count(F.lit(1)) + 1)).alias("y")))
+    middle = coords.groupBy("strata").agg(
+        F.avg("x").alias("cx"), F.avg("y").alias("cy"), (F.atan2(2 * F.covar_samp("x", "y"), F.var_samp("x") - F.var_samp("y")) / 2).alias("turn"))
+    u, v, turn = F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.coalesce("turn", F.lit(0.0))
+    points = coords.join(middle, "strata").join(lookup, "strata").select(
+        *strata, "sample", (u * F.cos(turn) + v * F.sin(turn)).alias("axis1"), (v * F.cos(turn) - u * F.sin(turn)).alias("axis2"))
+    return points, trace.join(lookup, "strata").select(*strata, "step", "stress")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from assayframe.session import durable
+
 
 def _islands(rules: DataFrame, keys: Sequence[str], low: str, high: str) -> DataFrame:
     """Union of the ranges of each key as ranges that do not overlap."""
@@ -33,29 +35,25 @@ def rule_window(
 
     A rule gives a range of ``position`` for some of the keys; a NULL key means any. Rules are split by
     which keys they name, so each part is an equality join (never a nested loop over rules). Ranges of
-    one key are merged first: a row then meets at most one, and cannot be duplicated by overlapping rules.
+    one key pattern are merged first: a row then meets at most one, and cannot be duplicated by overlapping rules.
     """
-    rules = rules.filter(F.col(low) <= F.col(high))
+    kept = rules.filter(F.col(low) <= F.col(high)).select(*keys, low, high)
+    isles = durable(_islands(kept, keys, low, high))  # small, read once per pattern
     named = [F.col(k).isNotNull().alias(k) for k in keys]
-    patterns = rules.select(*named).distinct().collect()  # at most 2^keys rows
+    patterns = isles.select(*named).distinct().collect()  # at most 2^keys rows
     if not patterns:
         return df.limit(0)
-    out, flags = df, []
+    out, hit = df, F.lit(False)
     for i, pattern in enumerate(sorted(patterns, reverse=True)):
-        used = [k for k in keys if pattern[k]]
-        part = rules
+        tag = f"__r{i}_"
+        part = isles.withColumn("__any", F.lit(1))
+        on = F.lit(1) == F.col(f"{tag}__any")
         for k in keys:
             part = part.filter(F.col(k).isNotNull() if pattern[k] else F.col(k).isNull())
-        part = part.withColumn("__any", F.lit(1))
-        isles = _islands(part, [*used, "__any"], low, high)
-        isles = isles.withColumnsRenamed({c: f"__r{i}_{c}" for c in [*used, "__any", "__lo", "__hi"]})
-        on = F.lit(1) == F.col(f"__r{i}___any")
-        for k in used:
-            on = on & (F.col(k) == F.col(f"__r{i}_{k}"))
-        on = on & F.col(position).between(F.col(f"__r{i}___lo"), F.col(f"__r{i}___hi"))
-        out = out.join(isles, on, "left")
-        flags.append(F.col(f"__r{i}___lo").isNotNull())
-    hit = flags[0]
-    for f in flags[1:]:
-        hit = hit | f
+            if pattern[k]:
+                on = on & (F.col(k) == F.col(f"{tag}{k}"))
+        part = part.withColumnsRenamed({c: f"{tag}{c}" for c in part.columns})
+        on = on & F.col(position).between(F.col(f"{tag}__lo"), F.col(f"{tag}__hi"))
+        out = out.join(part, on, "left")
+        hit = hit | F.col(f"{tag}__lo").isNotNull()
     return out.filter(hit).select(*df.columns)

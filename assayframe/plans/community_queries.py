@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayframe.operators.distance import bray_curtis
-from assayframe.operators.ordination import group_ellipse
+from assayframe.operators.ordination import group_ellipse, nonmetric_scaling
 from assayframe.operators.permutation import anosim, anosim_r, exact_relabelings, random_relabelings
 from assayframe.operators.ranking import average_rank
 from assayframe.operators.reshape import renormalise, share_in_group, spread
@@ -16,6 +16,7 @@ from assayframe.plans.tables import (
 from assayframe.session import durable
 
 PERMUTATIONS, SEED = 99, 7
+SCALING_STEPS = 4
 ROLLUP_PCT = 4.0
 ROLLUP = {"Other_low": ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#6"], "Other_mid": ["Brand#11", "Brand#12", "Brand#13"]}
 
@@ -100,6 +101,18 @@ def avg_rank(spark: SparkSession, sf: str) -> DataFrame:
     return average_rank(orders, "v", ["o_orderpriority"], salt_on=["o_orderkey"]).select("o_orderkey", "avg_rank")
 
 
+def _map(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return nonmetric_scaling(bray_curtis(abund(spark, sf), "sample", "feature", "n"), steps=SCALING_STEPS)
+
+
+def nmds_points(spark: SparkSession, sf: str) -> DataFrame:
+    return fixed_all(_map(spark, sf)[0], ["axis1", "axis2"])
+
+
+def nmds_stress(spark: SparkSession, sf: str) -> DataFrame:
+    return fixed_all(_map(spark, sf)[1], ["stress"])
+
+
 QUERIES = {
     "richness": richness_by_sample,
     "share_in_sample": share_in_sample,
@@ -116,6 +129,8 @@ QUERIES = {
     "anosim_exact": anosim_exact,
     "ellipse": ellipse,
     "avg_rank": avg_rank,
+    "nmds_points": nmds_points,
+    "nmds_stress": nmds_stress,
 }
 
 _SUPP = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayframe.functions.columns import strict
 from assayframe.operators.joins import add_covariates
@@ -13,6 +13,7 @@ from assayframe.operators.summarize import endpoint_change, mean_sd, peak
 from assayframe.operators.timeaxis import clock, elapsed_days, midpoint
 from assayframe.operators.twosample import two_sample
 from assayframe.plans.tables import fixed, fixed_all, fixed_sql as fx, load, regions
+from assayframe.session import small_table
 from assayframe.sources.readers import duplicate_keys
 from assayframe.sources.writers import figure_feed
 
@@ -63,7 +64,8 @@ def rule_windows(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders").select(
         "o_orderpriority", "o_orderstatus", "o_totalprice",
         F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("day"))
-    rules = spark.createDataFrame(WINDOWS, "o_orderpriority string, o_orderstatus string, day_lo int, day_hi int")
+    schema = T.StructType().add("o_orderpriority", "string").add("o_orderstatus", "string").add("day_lo", "integer").add("day_hi", "integer")
+    rules = small_table(spark, WINDOWS, schema)
     kept = rule_window(orders, rules, ["o_orderpriority", "o_orderstatus"], "day")
     return kept.groupBy("o_orderpriority", "o_orderstatus").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("day").alias("day_sum"), fixed(F.sum("o_totalprice"), 2).alias("price_sum"))
