@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from assayframe.functions.columns import ratio
-from assayframe.operators.distance import BLOCK_SAMPLES, block_count, block_pairs, sample_block
+from assayframe.operators.distance import block_count, block_pairs, sample_block
 from assayframe.operators.joins import _bare, _on
 from assayframe.operators.ranking import BUCKET_ROWS, attach_by_value, running_counts, value_table
 from assayframe.session import durable, ship
 
 #: Distances are compared at this many digits, so that equal sums in another order still tie.
 DIGITS = 12
+#: Samples per block when labels meet pairs: a task holds up to this many squared ranked pairs.
+BLOCK_SAMPLES = 512
 #: Exhaustive relabelings are listed up to this many samples per stratum (2^24 subsets).
 MAX_EXACT_SAMPLES = 24
 
@@ -191,7 +193,8 @@ def anosim(
     decks = every.groupBy(*strata, "sample").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("perm_id", code.alias("code")))), lambda c: c["code"]).alias("labels")
     )
-    blocks = block_count(samples.select(*strata, sample).distinct(), strata, block_samples)
+    most = decks.groupBy(*strata).count().agg(F.max("count")).head()[0] or 1
+    blocks = block_count(most, pairs.sparkSession.sparkContext.defaultParallelism, block_samples)
     spread = (
         decks.withColumn("block", sample_block("sample", blocks))
         .withColumn("pair", F.explode(block_pairs("block", blocks)))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from assayframe.session import durable
 
+#: Cells over the span of ranges that name no key; disjoint ranges fill at most this many plus one each.
+SPAN_CELLS = 1_000
+
 
 def _islands(rules: DataFrame, keys: Sequence[str], low: str, high: str) -> DataFrame:
     """Union of the ranges of each key as ranges that do not overlap."""
@@ -40,18 +43,26 @@ def rule_window(
     kept = rules.filter(F.col(low) <= F.col(high)).select(*keys, low, high)
     isles = durable(_islands(kept, keys, low, high))  # small, read once per pattern
     named = [F.col(k).isNotNull().alias(k) for k in keys]
-    patterns = isles.select(*named).distinct().collect()  # at most 2^keys rows
+    # One row per pattern of named keys (at most 2^keys), with the span of its ranges.
+    patterns = isles.groupBy(*named).agg(
+        F.min("__lo").cast("double").alias("__from"), F.max("__hi").cast("double").alias("__to")).collect()
     if not patterns:
         return df.limit(0)
     out, hit = df, F.lit(False)
     for i, pattern in enumerate(sorted(patterns, reverse=True)):
         tag = f"__r{i}_"
-        part = isles.withColumn("__any", F.lit(1))
-        on = F.lit(1) == F.col(f"{tag}__any")
+        part, on = isles, None
         for k in keys:
             part = part.filter(F.col(k).isNotNull() if pattern[k] else F.col(k).isNull())
             if pattern[k]:
-                on = on & (F.col(k) == F.col(f"{tag}{k}"))
+                same = F.col(k) == F.col(f"{tag}{k}")
+                on = same if on is None else on & same
+        if on is None:
+            # No key to join on: cut the span into cells and join on the cell of the position.
+            start, width = pattern["__from"], max((pattern["__to"] - pattern["__from"]) / SPAN_CELLS, 1e-9)
+            cell = lambda c: F.floor((c.cast("double") - F.lit(start)) / F.lit(width))  # noqa: B023, E731
+            part = part.withColumn("__cell", F.explode(F.sequence(cell(F.col("__lo")), cell(F.col("__hi")))))
+            on = cell(F.col(position)) == F.col(f"{tag}__cell")
         part = part.withColumnsRenamed({c: f"{tag}{c}" for c in part.columns})
         on = on & F.col(position).between(F.col(f"{tag}__lo"), F.col(f"{tag}__hi"))
         out = out.join(part, on, "left")
