@@ -122,13 +122,11 @@ def _as_series(values: np.ndarray, valid: np.ndarray) -> pd.Series:
     return pd.Series(np.where(valid, values, np.nan)).astype(object).where(valid, None)
 
 
-@F.pandas_udf(T.DoubleType())
 def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = (t.notna() & df.notna()).to_numpy()
     return _as_series(t_two_sided(t.fillna(0.0), df.fillna(1.0)), ok)
 
 
-@F.pandas_udf(T.DoubleType())
 def _f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     ok = (f.notna() & d1.notna() & d2.notna()).to_numpy()
     f, d1, d2 = f.fillna(1.0), d1.fillna(1.0), d2.fillna(1.0)
@@ -136,36 +134,36 @@ def _f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _as_series(np.minimum(both, 1.0), ok)
 
 
-@F.pandas_udf(T.DoubleType())
 def _normal_p(z: pd.Series) -> pd.Series:
     ok = z.notna().to_numpy()
     return _as_series(normal_two_sided(z.fillna(0.0)), ok)
 
 
-@F.pandas_udf(T.DoubleType())
 def _t_q(prob: pd.Series, df: pd.Series) -> pd.Series:
     ok = (prob.notna() & df.notna()).to_numpy()
     return _as_series(t_quantile(prob.fillna(0.5), df.fillna(1.0)), ok)
 
 
+def _vectorised(fn):
+    """Arrow function for the running session (made per use, so that it never outlives its context)."""
+    ship()
+    return F.pandas_udf(fn, T.DoubleType())
+
+
 def t_p_value(t: Column, df: Column) -> Column:
     """Two-sided p of Student's t."""
-    ship()
-    return _t_p(t.cast("double"), df.cast("double"))
+    return _vectorised(_t_p)(t.cast("double"), df.cast("double"))
 
 
 def f_p_value(f: Column, d1: Column, d2: Column) -> Column:
     """Two-sided p of a variance ratio: twice the smaller tail."""
-    ship()
-    return _f_p(f.cast("double"), d1.cast("double"), d2.cast("double"))
+    return _vectorised(_f_p)(f.cast("double"), d1.cast("double"), d2.cast("double"))
 
 
 def normal_p_value(z: Column) -> Column:
     """Two-sided p of a standard normal statistic."""
-    ship()
-    return _normal_p(z.cast("double"))
+    return _vectorised(_normal_p)(z.cast("double"))
 
 
 def t_critical(prob: Column, df: Column) -> Column:
-    ship()
-    return _t_q(prob.cast("double"), df.cast("double"))
+    return _vectorised(_t_q)(prob.cast("double"), df.cast("double"))

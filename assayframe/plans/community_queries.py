@@ -50,12 +50,16 @@ def transpose(spark: SparkSession, sf: str) -> DataFrame:
     return spread(renamed, ["feature"], "col", [f"s{i}" for i in range(25)], "n")
 
 
+def _nation_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return bray_curtis(durable(abund(spark, sf)), "sample", "feature", "n")
+
+
 def bray(spark: SparkSession, sf: str) -> DataFrame:
-    return fixed_all(bray_curtis(abund(spark, sf), "sample", "feature", "n"), ["dist"], 9)
+    return fixed_all(_nation_pairs(spark, sf), ["dist"], 9)
 
 
 def bray_suppliers(spark: SparkSession, sf: str) -> DataFrame:
-    return fixed_all(bray_curtis(abund_by_supplier(spark, sf), "sample", "feature", "n"), ["dist"], 9)
+    return fixed_all(bray_curtis(durable(abund_by_supplier(spark, sf)), "sample", "feature", "n"), ["dist"], 9)
 
 
 def _nations(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +67,7 @@ def _nations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anosim_stat(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = bray_curtis(abund(spark, sf), "sample", "feature", "n")
+    pairs = _nation_pairs(spark, sf)
     return fixed_all(anosim_r(pairs, _nations(spark, sf), "sample", "region"), ["r"])
 
 
@@ -72,7 +76,7 @@ def relabelings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anosim_perm(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = bray_curtis(abund(spark, sf), "sample", "feature", "n")
+    pairs = _nation_pairs(spark, sf)
     out = anosim(pairs, _nations(spark, sf), "sample", "region", relabelings(spark, sf))
     return fixed_all(out, ["r", "p_value"])
 
@@ -102,7 +106,7 @@ def avg_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _map(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return nonmetric_scaling(bray_curtis(abund(spark, sf), "sample", "feature", "n"), steps=SCALING_STEPS)
+    return nonmetric_scaling(_nation_pairs(spark, sf), steps=SCALING_STEPS)
 
 
 def nmds_points(spark: SparkSession, sf: str) -> DataFrame:
