@@ -46,13 +46,15 @@ def design(samples: DataFrame, sample: str, arm: str, control, treated, strata:
 def pack_counts(df: DataFrame, plan: DataFrame, sample: str, feature: str, count: str, strata: Sequence[str]) -> DataFrame:
     """One row per (stratum, feature) with its non-zero rounded counts; all-zero features do not appear.
 
-    ``df`` has one row per (sample, feature) and ``plan`` names each sample once; absent rows are zero counts.
+    ``df`` has one row per (sample, feature); absent rows are zero counts. It may carry the strata; if it does not,
+    sample names must be unique across them.
     """
+    own = [k for k in strata if k in df.columns]
     cells = (
-        df.select(F.col(sample).alias("sample"), F.col(feature).alias("feature"), round_half_even(count).cast("double").alias("count"))
+        df.select(*own, F.col(sample).alias("sample"), F.col(feature).alias("feature"), round_half_even(count).cast("double").alias("count"))
         .filter("count != 0")
     )
-    placed = attach_group_values(cells, plan.drop("arm"), ["sample"], ["feature"]).filter("idx IS NOT NULL")
+    placed = attach_group_values(cells, plan.drop("arm"), [*own, "sample"], ["feature"]).filter("idx IS NOT NULL")
     entries = F.sort_array(F.collect_list(F.struct("idx", "count")))
     return (
         placed.groupBy(*strata, "feature")
@@ -92,8 +94,9 @@ def norm_mean(df: DataFrame, factors: DataFrame, sample: str, feature: str, coun
     The sum runs over stored cells only; the number of samples comes from ``factors``.
     """
     sized = factors.withColumn("n_samples", F.count(F.lit(1)).over(Window.partitionBy(*strata)))
-    cells = df.select(F.col(sample).alias("sample"), feature, round_half_even(count).alias("__c")).filter("__c != 0")
-    joined = attach_group_values(cells, sized, ["sample"], [feature]).filter("size_factor IS NOT NULL")
+    own = [k for k in strata if k in df.columns]
+    cells = df.select(*own, F.col(sample).alias("sample"), feature, round_half_even(count).alias("__c")).filter("__c != 0")
+    joined = attach_group_values(cells, sized, [*own, "sample"], [feature]).filter("size_factor IS NOT NULL")
     return joined.groupBy(*strata, feature).agg(
         (F.sum(F.col("__c") / F.col("size_factor")) / F.max("n_samples")).alias("baseMean"))
 

@@ -12,8 +12,12 @@ US_PER_DAY = 86_400_000_000
 
 
 def clock(date: str, time: str, pattern: str = "M/d/yy H:mm") -> Column:
-    """Timestamp of a date text and a clock text; NULL where they do not parse."""
-    return F.try_to_timestamp(F.concat_ws(" ", F.col(date), F.col(time)), F.lit(pattern))
+    """Timestamp of a date text and a clock text, read as UTC; NULL where they do not parse.
+
+    Fixing the zone keeps elapsed times free of daylight saving, whatever the session's zone.
+    """
+    text = F.concat(F.col(date), F.lit(" "), F.col(time), F.lit(" +0000"))
+    return F.try_to_timestamp(text, F.lit(f"{pattern} xx"))
 
 
 def midpoint(start: Column, end: Column) -> Column:

@@ -33,7 +33,7 @@ WINDOWS = [
 
 
 def _micros(column: str):
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', CAST({column} AS timestamp_ntz))")
 
 
 def growth_slope(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +44,7 @@ def growth_slope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def time_axis(spark: SparkSession, sf: str) -> DataFrame:
-    stamps = load(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    stamps = load(spark, sf, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"))
     daily = stamps.groupBy(F.to_date("ts").alias("day")).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
         "day", F.date_format("day", "M/d/yy").alias("date"),
         F.date_format("a", "H:mm").alias("tstart"), F.date_format("b", "H:mm").alias("tend"))

@@ -42,6 +42,19 @@ def test_size_factors(spark, counts):
     assert abs(again["P0"] / again["P1"] / (got["P0"] / got["P1"]) - 4) < 1e-9
 
 
+def test_sample_names_may_repeat_across_strata(spark, counts):
+    cells, samples = counts
+    named = cells.join(samples.select("st", "sample"), "sample").withColumn("sample", F.substring("sample", 2, 9))
+    short = samples.withColumn("sample", F.substring("sample", 2, 9))
+    want = {r.sample: r.size_factor for r in da.size_factors(cells, samples, **ARGS).collect()}
+    got = da.size_factors(named, short, **ARGS)
+    assert {r.st + r.sample: r.size_factor for r in got.collect()} == want
+    a = {(r.st, r.feature): r.baseMean for r in da.norm_mean(named, got, "sample", "feature", "n", ["st"]).collect()}
+    full = da.norm_mean(cells, da.size_factors(cells, samples, **ARGS), "sample", "feature", "n", ["st"])
+    b = {(r.st, r.feature): r.baseMean for r in full.collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
 def test_no_common_feature_is_an_error(spark):
     cells = spark.createDataFrame([("a", "f", 1.0), ("b", "g", 2.0), ("c", "g", 2.0), ("d", "f", 3.0)], "sample string, feature string, n double")
     samples = spark.createDataFrame([("s", "a", "c"), ("s", "b", "c"), ("s", "c", "t"), ("s", "d", "t")], "st string, sample string, arm string")

@@ -50,6 +50,18 @@ def test_time_axis(spark):
     assert {r.day: round(r.days_elapsed, 9) for r in per} == {0: round(-(6 - 20 / 1440), 9), 6: 0.0}
 
 
+def test_elapsed_time_ignores_daylight_saving(spark):
+    df = spark.createDataFrame([(0, "3/9/24", "1:30", "1:30"), (1, "3/10/24", "2:30", "2:30")], "day int, d string, a string, b string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        timed = df.withColumn("mid", midpoint(clock("d", "a"), clock("d", "b")))
+        got = {r.day: r.days_elapsed for r in elapsed_days(timed, "mid", F.col("day") == 0).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert abs(got[1] - 25 / 24) < 1e-12
+
+
 def test_endpoint_change(spark):
     df = spark.createDataFrame(
         [("a", 0, 1.0, 2.0), ("a", 8, 4.0, 3.5), ("b", 0, 1.0, 2.0), ("c", 0, 1.0, 2.0), ("c", 8, 2.0, 2.0)], "g string, day int, x double, y double")
