@@ -162,9 +162,18 @@ def _binned(packed: DataFrame, plan: DataFrame, bins: int, strata: Sequence[str]
     return left.groupBy(*strata, "bin").cogroup(right.groupBy(*strata, "bin"))
 
 
+def _trend_step(old: tuple, curve: Sequence[float], pull: tuple) -> tuple | None:
+    """Solve the two-by-two step; None unless the curvature is positive and both coefficients stay positive."""
+    det = curve[0] * curve[2] - curve[1] ** 2
+    if det <= 0 or curve[0] <= 0:
+        return None
+    new = (old[0] + (curve[2] * pull[0] - curve[1] * pull[1]) / det, old[1] + (curve[0] * pull[1] - curve[1] * pull[0]) / det)
+    return new if min(new) > 0 else None
+
+
 def dispersion_trend(points: DataFrame, strata: Sequence[str], mean: str = "base_mean", disp: str = "disp_gene",
                      max_iter: int = 60) -> DataFrame:
-    """Gamma regression ``disp = a0 + a1 / mean`` per stratum by weighted sums, one aggregation per step.
+    """Gamma regression ``disp = a0 + a1 / mean`` per stratum by scoring steps, one aggregation each.
 
     At each step only points whose ratio to the current trend is inside (1e-4, 15) count. A stratum whose fit turns
     non-positive falls back to its mean dispersion (``a1 = 0``). The driver sees one row per stratum and step.
@@ -177,33 +186,36 @@ def dispersion_trend(points: DataFrame, strata: Sequence[str], mean: str = "base
         for r in points.select(*strata, F.lit(1).alias("__one")).distinct().collect()
     }
     fields = T.StructType([points.schema[k] for k in strata]).add("__a0", "double").add("__a1", "double")
-    for _ in range(max_iter):
+    for step in range(max_iter):
         open_ = {k: v for k, v in state.items() if not v[2]}
         if not open_:
             break
         now = small_table(spark, [(*k, v[0], v[1]) for k, v in open_.items()], fields)
         fit = F.col("__a0") + F.col("__a1") * x
-        w = F.when((y / fit > 1e-4) & (y / fit < 15), 1 / (fit * fit)).otherwise(0.0)
+        ratio = y / fit
+        w = F.when((ratio > 1e-4) & (ratio < 15), 1 / (fit * fit)).otherwise(0.0)
+        powers = (F.lit(1.0), x, x * x)
         sums = (
             points.join(_bare(now, strata, "n"), _on(strata, "n"), "inner")
-            .withColumn("__w", w)
+            .withColumns({"__w": w, "__u": w * ratio})
             .groupBy(*strata)
             .agg(
-                F.sum("__w").alias("s"), F.sum(F.col("__w") * x).alias("sx"), F.sum(F.col("__w") * x * x).alias("sxx"),
-                F.sum(F.col("__w") * y).alias("sy"), F.sum(F.col("__w") * x * y).alias("sxy"), F.avg(y).alias("flat"),
+                *[F.sum(F.col("__w") * v).alias(f"w{i}") for i, v in enumerate(powers)],
+                *[F.sum(F.col("__u") * v).alias(f"u{i}") for i, v in enumerate(powers)],
+                F.sum(F.col("__w") * (y - fit)).alias("g0"), F.sum(F.col("__w") * x * (y - fit)).alias("g1"), F.avg(y).alias("flat"),
             )
         )
         for r in sums.collect():
             key = tuple(r[k] for k in strata)
-            old0, old1, _ = state[key]
-            det = r["s"] * r["sxx"] - r["sx"] ** 2
-            a0 = (r["sxx"] * r["sy"] - r["sx"] * r["sxy"]) / det if det > 0 else -1.0
-            a1 = (r["s"] * r["sxy"] - r["sx"] * r["sy"]) / det if det > 0 else -1.0
-            if a0 <= 0 or a1 <= 0:
+            old = state[key][:2]
+            weights = [r[f"w{i}"] for i in range(3)]
+            new = _trend_step(old, weights, (r["g0"], r["g1"]))
+            if step > 1:  # near the optimum the observed curvature converges faster than the expected one
+                new = _trend_step(old, [2 * r[f"u{i}"] - v for i, v in enumerate(weights)], (r["g0"], r["g1"])) or new
+            if new is None:
                 state[key] = (r["flat"], 0.0, True)
-                continue
-            still = abs(math.log(a0 / old0)) + abs(math.log(a1 / old1)) < 1e-7
-            state[key] = (a0, a1, still)
+            else:
+                state[key] = (*new, sum(abs(math.log(n / o)) for n, o in zip(new, old)) < 1e-7)
     out = T.StructType([points.schema[k] for k in strata]).add("a0", "double").add("a1", "double")
     return small_table(spark, [(*k, v[0], v[1]) for k, v in state.items()], out)
 
