@@ -13,7 +13,7 @@ from assayframe.operators.joins import full_outer
 from assayframe.operators.ranking import bh_adjust, exact_quantiles
 from assayframe.operators.reshape import drop_all_zero
 from assayframe.plans.tables import (
-    ARMS_SQL, abund_by_supplier, arm_counts, arm_samples, fixed, fixed_all, fixed_sql as fx, load,
+    ARMS_SQL, abund_by_supplier, arm_counts, fixed, fixed_all, fixed_sql as fx, load,
 )
 from assayframe.session import durable
 from assayframe.sources.writers import result_summary

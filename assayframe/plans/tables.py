@@ -74,11 +74,6 @@ def arm_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def arm_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """The sample dimension of ``arm_counts``, from the keys that occur."""
-    return arm_counts(spark, folder).select("region", "sample", "arm").distinct()
-
-
 def split_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Lines per (region, order and line status, feature): six samples in two arms of three in each region."""
     return (

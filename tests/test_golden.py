@@ -146,7 +146,9 @@ def test_differential_end_to_end(spark, matrices):
 
 @pytest.mark.parametrize("clean", [True, False])
 def test_cross_strain_comparison(spark, clean):
-    parts = [f for f in golden_tables('"","pathway","log2FoldChange","padj"') if ("noSpiro" in f.name) == clean]
+    n_rows = {True: (124, 70, 17), False: (141, 115, 66)}[clean]
+    parts = [f for f in golden_tables('"","pathway","log2FoldChange","padj"') if len(f.read_text().splitlines()) - 1 in n_rows]
+    assert len(parts) == 3
     rows = None
     for f in parts:
         t = read_table(spark, str(f), {"log2FoldChange": "double", "padj": "double"}).drop("row_key").withColumn("strain", F.lit(f.name.split("_")[0]))
