@@ -1,13 +1,15 @@
 """One registered query per operator, each over the whole of its table, and their SQL where SQL can express them."""
 
-from assayframe.llm import decontaminate, exact_dedup, langid, mixing, sharding, simhash
+from assayframe.llm import decontaminate, exact_dedup, langid, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_language": langid.op3_language,
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,
+    "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 #: The sharding query returns a CRC-32 of each text, for which DuckDB has no function.
