@@ -81,24 +81,15 @@ class Isotonic:
 
 
 def fit_isotonic(margin: np.ndarray, y: np.ndarray, prior: float = 0.5) -> Isotonic:
-    """Pool adjacent violators on the sorted margins; every pool is drawn a little towards the overall share, so that no score is 0 or 1."""
+    """Pool adjacent violators on the sorted margins; every pool is drawn a little towards the overall share, so that no score is 0 or 1,
+    and stands at its mean margin: scores in between are interpolated."""
     order = np.argsort(margin, kind="stable")
     overall = y.mean() if len(y) else 0.5
-    pools: list[list[float]] = []  # sum of labels, size, first and last margin
+    pools: list[list[float]] = []  # sum of labels, size, sum of margins
     for m, label in zip(margin[order].tolist(), y[order].tolist()):
-        if pools and pools[-1][3] == m:
-            pools[-1][0] += label
-            pools[-1][1] += 1
-        else:
-            pools.append([label, 1, m, m])
+        pools.append([label, 1, m])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            s, n, _, last = pools.pop()
-            pools[-1][0] += s
-            pools[-1][1] += n
-            pools[-1][3] = last
-    at, share = [], []
-    for s, n, first, last in pools:
-        v = (s + prior * overall) / (n + prior)
-        at += [first, last] if last > first else [first]
-        share += [v, v] if last > first else [v]
-    return Isotonic(np.array(at), np.maximum.accumulate(np.array(share)) if share else np.array(share))
+            s, n, total = pools.pop()
+            pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2] + total]
+    share = np.array([(s + prior * overall) / (n + prior) for s, n, _ in pools])
+    return Isotonic(np.array([total / n for _, n, total in pools]), np.maximum.accumulate(share) if len(share) else share)

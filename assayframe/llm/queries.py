@@ -1,6 +1,6 @@
 """One registered query per operator, each over the whole of its table, and their SQL where SQL can express them."""
 
-from assayframe.llm import decontaminate, exact_dedup, langid, mixing, quality, sharding, simhash, toxicity
+from assayframe.llm import decontaminate, exact_dedup, langid, mixing, quality, sharding, simhash, tokencounts, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_token_counts": tokencounts.op10_token_counts,
 }
 #: The sharding query returns a CRC-32 of each text, for which DuckDB has no function.
 ORACLES = {

@@ -8,7 +8,8 @@ other documents of the training sample, counted on the executors. Trees are fitt
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+import string
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,29 +22,30 @@ from assayframe.llm.common import durable, remainder, sampled
 #: Labelled rows per class that the model is fitted on.
 SAMPLE = 4000
 #: A lexicon entry stands in at least SUPPORT toxic sample documents and this many times the share of the others.
-SUPPORT, LIFT, ENTRIES = 6, 12.0, 2000
+SUPPORT, LIFT, ENTRIES = 4, 6.0, 2000
 STARTS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 #: Words that address the reader in the four languages of the tables.
 ADDRESS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú usted ustedes vosotros ti tus su sus".split())
 #: Signs that stand for letters in disguised words.
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+MARKS = string.punctuation + "«»“”„’‘…¿¡–—"
+QUIET = ".,;:?\"'()[]«»“”„…¿¡–—"
 INNER = re.compile(r"[\W\d_]+")
 #: Words within this distance count as near.
 NEAR = 5
-FEATURES = ("word", "start", "hidden", "log_hits", "distinct", "near_you", "you", "capitals", "shouted", "marks", "exclaim", "inner_marks", "digits", "spelled", "repeats", "log_words")
+FEATURES = ("word", "start", "hidden", "log_hits", "distinct", "weight", "log_weight", "top_weight", "near_you", "you", "capitals", "shouted", "marks", "exclaim", "inner_marks", "digits", "spelled", "repeats", "log_words")
 
 
 def bare(word: str) -> str:
-    return EDGE.sub("", word).lower()
+    return word.strip(MARKS).lower()
 
 
-def revealed(word: str) -> str:
-    """The word with stand-in signs read as letters and marks inside taken out; empty if this changes nothing."""
-    core = word.strip(".,;:?\"'()[]").lower()
-    plain = INNER.sub("", core.translate(DISGUISE))
-    return plain if len(plain) >= 4 and plain != bare(word) and plain != INNER.sub("", core) or len(plain) >= 4 and INNER.search(EDGE.sub("", core)) else ""
+def revealed(word: str) -> set[str]:
+    """What the word may read with stand-in signs taken as letters and marks inside taken out; empty for plain words."""
+    cores = {word.strip(QUIET).lower(), word.strip(MARKS).lower()}
+    plain = {INNER.sub("", c.translate(DISGUISE)) for c in cores if not c.isalpha()}
+    return {p for p in plain if len(p) >= 4}
 
 
 def entries(text: str | None) -> set[str]:
@@ -53,66 +55,86 @@ def entries(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STARTS if len(w) > n}
 
 
-def features(text: str | None, lexicon: Mapping[str, float]) -> list[float]:
-    """Dense features of a whole text, in the order of FEATURES; all 0 without words."""
-    raw = (text or "").split()
-    n = len(raw)
-    if not n:
-        return [0.0] * len(FEATURES)
-    word = start = hidden = inner = shouted = spelled = repeats = 0
-    hits, you, found, run, before = [], [], set(), [], None
-    seen: dict[str, tuple[str, str | None]] = {}
-    for i, w in enumerate(raw):
-        known = seen.get(w)
-        if known is None:
-            b, match = bare(w), None
-            if b in lexicon:
-                match = "word"
-            elif any(b[:k] + "*" in lexicon for k in STARTS if len(b) > k):
-                match = "start"
-            else:
-                r = revealed(w)
-                if r and (r in lexicon or any(r[:k] + "*" in lexicon for k in STARTS if len(r) > k)):
+class Words(dict):
+    """Numbers of the words met so far; a new word is looked up once. Its facts stand in columns."""
+
+    COLUMNS = ("word", "start", "hidden", "strength", "you", "shouted", "inner", "single", "name")
+
+    def __init__(self, lexicon: Mapping[str, float]):
+        super().__init__()
+        self.lexicon, self.rows, self.names = lexicon, [], {}
+
+    def look_up(self, b: str) -> tuple[str | None, float]:
+        """How a bare word matches, and the greatest weight of the entries it matches."""
+        get = self.lexicon.get
+        start = max([get(b[:k] + "*", 0.0) for k in STARTS if len(b) > k], default=0.0)
+        return ("word", max(get(b), start)) if b in self.lexicon else ("start", start) if start else (None, 0.0)
+
+    def __missing__(self, w: str) -> int:
+        b = bare(w)
+        match, strength = self.look_up(b)
+        plain = b.isalpha()
+        if not match and not (plain and w.isalpha()):
+            for r in sorted(revealed(w)):
+                found, strength = self.look_up(r)
+                if found:
                     match = "hidden"
-            known = seen[w] = (b, match)
-        b, match = known
-        if len(b) == 1:
-            run.append(b)
-        else:
-            if len(run) >= 4:  # letters spelled one by one
-                spelled += len(run)
-                if "".join(run) in lexicon:
-                    hidden += 1
-                    hits.append(i - 1)
-                    found.add("".join(run))
-            run = []
-        if match:
-            hits.append(i)
-            found.add(b)
-            word += match == "word"
-            start += match == "start"
-            hidden += match == "hidden"
-        if b in ADDRESS:
-            you.append(i)
-        shouted += len(b) > 1 and w.isupper()
-        inner += len(b) > 2 and INNER.search(EDGE.sub("", w)) is not None
-        repeats += b == before
-        before = b
-    if len(run) >= 4 and "".join(run) in lexicon:
-        hidden += 1
-        hits.append(n - 1)
-        found.add("".join(run))
-    near = 0
-    if hits and you:
-        at = np.searchsorted(you, hits)
-        arr = np.array([-10**9, *you, 10**9])
-        near = int((np.minimum(np.abs(arr[at] - hits), np.abs(arr[at + 1] - hits)) <= NEAR).sum())
-    size = max(1, len(text))
-    letters = sum(map(str.isalpha, text))
-    upper = sum(map(str.isupper, text))
-    marks = size - letters - sum(map(str.isspace, text)) - (digits := sum(map(str.isdigit, text)))
-    return [word / n, start / n, hidden / n, float(np.log1p(len(hits))), float(np.log1p(len(found))), near / n, len(you) / n, upper / max(1, letters), shouted / n, marks / size,
-            text.count("!") / n, inner / n, digits / size, spelled / n, repeats / n, float(np.log1p(n))]
+                    break
+        self[w] = at = len(self.rows)
+        name = self.names.setdefault(b, len(self.names))
+        self.rows.append((match == "word", match == "start", match == "hidden", strength, b in ADDRESS, len(b) > 1 and w.isupper(), len(b) > 2 and not plain, len(b) == 1, name))
+        return at
+
+    def spelled(self, letters: str) -> float:
+        """Weight of a word spelled letter by letter."""
+        return self.look_up(letters)[1]
+
+
+def features(texts: Sequence[str | None], lexicon: Mapping[str, float]) -> np.ndarray:
+    """Dense features of whole texts, a row each, in the order of FEATURES; all 0 without words."""
+    known, out = Words(lexicon), np.zeros((len(texts), len(FEATURES)))
+    split = [(t or "").split() for t in texts]
+    numbers = [np.fromiter(map(known.__getitem__, raw), dtype=np.int64, count=len(raw)) for raw in split]
+    table = np.array(known.rows, dtype=float).reshape(-1, len(Words.COLUMNS))
+    for i, (text, raw, ids) in enumerate(zip(texts, split, numbers)):
+        if not raw:
+            continue
+        n, size = len(raw), len(text)
+        facts = table[ids]
+        word, start, hidden, strength, you, shouted, inner, single, name = facts.T
+        hit = strength > 0
+        spelled = 0
+        if single.sum() >= 4:
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], single, [0]])))
+            for first, last in zip(edges[::2], edges[1::2]):
+                if last - first >= 4:
+                    spelled += last - first
+                    weight = known.spelled("".join(bare(w) for w in raw[first:last]))
+                    if weight:
+                        hit[first], hidden[first], strength[first] = True, 1, weight
+        at, addressed, near = np.flatnonzero(hit), np.flatnonzero(you), 0
+        if len(at) and len(addressed):
+            fenced = np.concatenate([[-10**9], addressed, [10**9]])
+            k = np.searchsorted(fenced, at)
+            near = int((np.minimum(at - fenced[k - 1], fenced[np.minimum(k, len(fenced) - 1)] - at) <= NEAR).sum())
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = _kinds()[cp]
+        letters, upper, digits, blanks = (kind <= 1).sum(), (kind == 1).sum(), (kind == 2).sum(), (kind == 3).sum()
+        total = strength.sum()
+        out[i] = [word.mean(), start.mean(), hidden.mean(), np.log1p(len(at)), np.log1p(len(np.unique(name[at]))), total / n, np.log1p(total), strength.max(), near / n, you.mean(),
+                  upper / max(1, letters), shouted.mean(), (size - letters - digits - blanks) / size, text.count("!") / n, inner.mean(), digits / size, spelled / n, (np.diff(name) == 0).sum() / n, np.log1p(n)]
+    return out
+
+
+_KINDS: list[np.ndarray] = []
+
+
+def _kinds() -> np.ndarray:
+    """For each code point: 0 letter, 1 capital, 2 digit, 3 white space, 4 other; built once per worker."""
+    if not _KINDS:
+        chars = map(chr, range(0x110000))
+        _KINDS.append(np.fromiter((1 if c.isupper() and c.isalpha() else 0 if c.isalpha() else 2 if c.isdigit() else 3 if c.isspace() else 4 for c in chars), dtype=np.uint8, count=0x110000))
+    return _KINDS[0]
 
 
 @dataclass
@@ -122,12 +144,11 @@ class Model:
     calibration: Isotonic
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([features(t, self.lexicon) for t in texts]).reshape(-1, len(FEATURES))
-        return np.clip(self.calibration(self.trees.margin(x)), 0.0, 1.0)
+        return np.clip(self.calibration(self.trees.margin(features(texts, self.lexicon))), 0.0, 1.0)
 
 
 def _lexicon(rows: DataFrame) -> dict[str, float]:
-    """Entries whose share of toxic documents is LIFT times that of the others, smoothed."""
+    """Entries whose share of toxic documents is LIFT times that of the others, smoothed, with the logarithm of the ratio as weight."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -140,7 +161,7 @@ def _lexicon(rows: DataFrame) -> dict[str, float]:
         F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other"))
     lift = (F.col("toxic") / toxic) / ((F.col("other") + 0.5) / other)
     best = counts.where((F.col("toxic") >= SUPPORT) & (lift >= LIFT)).orderBy(F.desc(F.col("toxic") * F.log(lift)), "entry").limit(ENTRIES)
-    return {r["entry"]: 1.0 for r in best.select("entry").collect()}
+    return {r["entry"]: float(np.log(r["lift"])) for r in best.select("entry", lift.alias("lift")).collect()}
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -150,8 +171,10 @@ def fit(labelled: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t.as_py(), lexicon) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["fold", "label", "x"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                x = features(part.column(2).to_pylist(), lexicon)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["fold", "label", "x"])
 
     got = rows.select(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int").alias("fold"), "label", "text").mapInArrow(run, "fold int, label int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist()).reshape(-1, len(FEATURES))
