@@ -1,8 +1,9 @@
 """One registered query per operator, each over the whole of its table, and their SQL where SQL can express them."""
 
-from assayframe.llm import decontaminate, exact_dedup, langid, mixing, quality, sharding, simhash, tokencounts, toxicity
+from assayframe.llm import decontaminate, exact_dedup, html, langid, mixing, quality, sharding, simhash, tokencounts, toxicity
 
 QUERIES = {
+    "op1_html": html.op1_html,
     "op2_mixing": mixing.op2_mixing,
     "op3_language": langid.op3_language,
     "op4_sharding": sharding.op4_sharding,

@@ -43,7 +43,7 @@ def bare(word: str) -> str:
 
 def revealed(word: str) -> set[str]:
     """What the word may read with stand-in signs taken as letters and marks inside taken out; empty for plain words."""
-    cores = {word.strip(QUIET).lower(), word.strip(MARKS).lower()}
+    cores = {word.strip(QUIET).lower(), word.strip(QUIET).rstrip("!" + QUIET).lower(), word.strip(MARKS).lower()}
     plain = {INNER.sub("", c.translate(DISGUISE)) for c in cores if not c.isalpha()}
     return {p for p in plain if len(p) >= 4}
 
@@ -56,7 +56,7 @@ def entries(text: str | None) -> set[str]:
 
 
 class Words(dict):
-    """Numbers of the words met so far; a new word is looked up once. Its facts stand in columns."""
+    """Numbers of the words met so far; a new word is looked up once. Its facts stand in columns. A disguised word counts as a word, too."""
 
     COLUMNS = ("word", "start", "hidden", "strength", "you", "shouted", "inner", "single", "name")
 
@@ -82,7 +82,7 @@ class Words(dict):
                     break
         self[w] = at = len(self.rows)
         name = self.names.setdefault(b, len(self.names))
-        self.rows.append((match == "word", match == "start", match == "hidden", strength, b in ADDRESS, len(b) > 1 and w.isupper(), len(b) > 2 and not plain, len(b) == 1, name))
+        self.rows.append((match in ("word", "hidden"), match == "start", match == "hidden", strength, b in ADDRESS, len(b) > 1 and w.isupper(), len(b) > 2 and not plain, len(b) == 1, name))
         return at
 
     def spelled(self, letters: str) -> float:
@@ -111,7 +111,7 @@ def features(texts: Sequence[str | None], lexicon: Mapping[str, float]) -> np.nd
                     spelled += last - first
                     weight = known.spelled("".join(bare(w) for w in raw[first:last]))
                     if weight:
-                        hit[first], hidden[first], strength[first] = True, 1, weight
+                        hit[first], word[first], hidden[first], strength[first] = True, 1, 1, weight
         at, addressed, near = np.flatnonzero(hit), np.flatnonzero(you), 0
         if len(at) and len(addressed):
             fenced = np.concatenate([[-10**9], addressed, [10**9]])
