@@ -209,7 +209,8 @@ def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
     found = near_duplicates(docs, radius)
     kept = durable(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")))
     rows = whole_row(docs, _id=F.col("doc_id").cast("long"))
-    out = rows.join(kept, "_id")
+    # The ids to keep grow with the corpus: never a broadcast side, at any size.
+    out = rows.join(kept.hint("merge"), "_id")
     once = out.where("_n = 1").select("_row.*")
     several = out.where("_n > 1").dropDuplicates(["_id"]).select("_row.*")
     return once.unionByName(several).unionByName(docs.where("doc_id IS NULL"))
