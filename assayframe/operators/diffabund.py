@@ -134,7 +134,8 @@ def _wald_task(strata: list[str], schema: pa.Schema):
         a0, a1, prior, resid, limit = (plan[c][0].as_py() for c in ("a0", "a1", "prior_var", "resid_var", "cook_limit"))
         y = _dense(feats, len(sf))
         mean, gene = feats["base_mean"].to_numpy(), feats["disp_gene"].to_numpy()
-        disp = nbfit.final_dispersion(y, sf, arm, gene, mean, a0, a1, prior, resid)
+        # A stratum without a trend has nothing to draw its dispersions towards: they are final as they are.
+        disp = gene if None in (a0, prior) else nbfit.final_dispersion(y, sf, arm, gene, mean, a0, a1, prior, resid)
         _, b1, se, settled, mu, hat = nbfit.wald_fit(y, sf, arm, disp)
         cook, flag = nbfit.cook_flags(y, sf, arm, mu, hat, limit if limit is not None else np.inf)
         out = {c: feats[c] for c in [*strata, "feature"]}
@@ -253,7 +254,8 @@ def nb_wald(
     """Fold change of treated over control per (stratum, feature) with dispersion, se, Wald statistic and p.
 
     Size factors, gene-wise dispersions, trend, prior, final dispersions and coefficients are estimated
-    per stratum. The result is a written table, so that filtering and adjustment can pass over it again.
+    per stratum. A stratum in which no dispersion rises above the floor has no trend; its gene-wise dispersions are
+    final, and every feature stays. The result is a written table, so that filtering and adjustment can pass over it again.
     """
     spark = df.sparkSession
     ship(spark)
@@ -280,9 +282,9 @@ def nb_wald(
     limit = F.lit(None).cast("double")
     for n, q in limits.items():
         limit = F.when(F.col("n_samples") == n, F.lit(q)).otherwise(limit)
-    params = trend.join(_bare(prior, strata, "p"), _on(strata, "p"), "inner").drop(*[f"__p_{k}" for k in strata])
+    params = trend.join(_bare(prior, strata, "p"), _on(strata, "p"), "left").drop(*[f"__p_{k}" for k in strata])
     full_plan = (
-        sized.join(_bare(params, strata, "t"), _on(strata, "t"), "inner").drop(*[f"__t_{k}" for k in strata])
+        sized.join(_bare(params, strata, "t"), _on(strata, "t"), "left").drop(*[f"__t_{k}" for k in strata])
         .withColumn("cook_limit", limit)
     )
     out2 = (
@@ -360,7 +362,7 @@ def filtered_bh(
     chosen = curve.groupBy(*family).applyInPandas(_choose_step(len(family), schema.names), schema)
     marked = df.join(_bare(chosen, family, "c"), _on(family, "c"), "left").drop(*[f"__c_{k}" for k in family])
     marked = durable(marked.withColumn("__p", F.when(F.col(filter_by) >= F.col("__cut"), F.col(p))))
-    return bh_adjust(marked, "__p", family, out, salt_on=[*family, "feature"], bucket_rows=bucket_rows).drop("__p", "__cut")
+    return bh_adjust(marked, "__p", family, out, bucket_rows=bucket_rows).drop("__p", "__cut")
 
 
 def differential(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,8 +19,8 @@ from assayframe.session import durable, ship
 DIGITS = 12
 #: Samples per block when labels meet pairs: a task holds up to this many squared ranked pairs.
 BLOCK_SAMPLES = 512
-#: Exhaustive relabelings are listed up to this many samples per stratum (2^24 subsets).
-MAX_EXACT_SAMPLES = 24
+#: Splits listed from one row before their numbers are dealt out to tasks.
+SPLITS_PER_ROW = 65_536
 
 
 def _positions(samples: DataFrame, sample: str, strata: Sequence[str]) -> DataFrame:
@@ -57,35 +58,51 @@ def random_relabelings(
 def exact_relabelings(samples: DataFrame, sample: str, label: str, strata: Sequence[str] = ()) -> DataFrame:
     """Every distinct split of a stratum's samples into two arms of the observed sizes, but the observed one.
 
-    With arms of equal size a split and its mirror image are one. ``perm_id`` counts from 1.
+    With arms of equal size a split and its mirror image are one. ``perm_id`` counts from 1. Splits are numbered in
+    ascending order of the set bits of the first arm; each task computes its splits from their numbers alone, so no
+    subset that is not a split is ever listed and the number of samples has no limit of its own.
     """
     strata = list(strata)
     dealt = samples.select(*strata, sample, label).distinct()
     sizes = dealt.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("n_labels"))
-    bad = sizes.filter((F.col("n_labels") != 2) | (F.col("n") > MAX_EXACT_SAMPLES)).limit(1).collect()
+    bad = sizes.filter(F.col("n_labels") != 2).limit(1).collect()
     if bad:
-        raise ValueError(f"exact relabelings need two arms and at most {MAX_EXACT_SAMPLES} samples: {bad[0]}")
-    # At most MAX_EXACT_SAMPLES entries per stratum, in sample order; bit i of a mask stands for entry i.
+        raise ValueError(f"exact relabelings need two arms: {bad[0]}")
+    most = sizes.agg(F.max("n")).head()[0] or 2
+    # Binomial coefficients up to the largest stratum; those above 2^62 cannot be listed in any case.
+    table = F.lit([[min(math.comb(i, k), 1 << 62) for k in range(most + 1)] for i in range(most + 1)])
+    # One entry per sample of a stratum, in sample order.
     rows = dealt.groupBy(*strata).agg(
         F.sort_array(F.collect_list(F.struct(F.col(sample).alias("s"), F.col(label).alias("l")))).alias("m")
     )
     first = F.col("m")[0]["l"]
     rows = rows.withColumns({
-        "__n": F.size("m"),
         "__first": first,
         "__other": F.filter("m", lambda e: e["l"] != first)[0]["l"],
-        "__seen": F.expr("aggregate(sequence(0, size(m) - 1), 0L, (a, i) -> a + IF(m[i].l = m[0].l, shiftleft(1L, i), 0L))"),
+        "__ones": F.size(F.filter("m", lambda e: e["l"] == first)),
     })
-    ones = F.bit_count("__seen")
-    masks = (
-        rows.withColumn("__mask", F.explode(F.expr("sequence(0L, shiftleft(1L, __n) - 1)")))
-        .filter((F.bit_count("__mask") == ones) & (F.col("__mask") != F.col("__seen")))
-        .filter((ones * 2 != F.col("__n")) | (F.col("__mask") % 2 == 1))
+    # With equal arms the first sample stays in the first arm, and only the others are dealt.
+    rows = rows.withColumn("__fixed", (F.col("__ones") * 2 == F.size("m")).cast("int"))
+    rows = rows.withColumns({"__n": F.size("m") - F.col("__fixed"), "__k": F.col("__ones") - F.col("__fixed")})
+    rows = rows.withColumn("__choose", table).withColumn("__total", F.get(F.get("__choose", F.col("__n")), F.col("__k")))
+    rows = rows.withColumn("__seen", F.expr(
+        "aggregate(sequence(0, __n - 1), struct(0L as r, 0 as j), (a, i) -> if(m[i + __fixed].l = __first, "
+        "struct(a.r + __choose[i][a.j + 1] as r, a.j + 1 as j), a), a -> a.r)"))
+    numbers = (
+        rows.withColumn("__from", F.explode(F.expr(f"sequence(0L, __total - 1, {SPLITS_PER_ROW}L)")))
+        .repartition(*strata, "__from")
+        .withColumn("__rank", F.explode(F.expr(f"sequence(__from, least(__from + {SPLITS_PER_ROW}, __total) - 1)")))
+        .filter("__rank <> __seen")
     )
-    number = Window.partitionBy(*strata).orderBy("__mask")
-    spots = masks.withColumn("perm_id", F.row_number().over(number)).select(
-        *strata, "perm_id", "__mask", "__first", "__other", F.posexplode("m").alias("__i", "__e"))
-    chosen = F.when(F.getbit(F.col("__mask"), F.col("__i")) == 1, F.col("__first")).otherwise(F.col("__other"))
+    # From the last sample down: it belongs to the first arm if the number reaches past all splits without it.
+    bits = F.expr(
+        "aggregate(reverse(sequence(0, __n - 1)), struct(__rank as r, __k as k, cast(array() as array<int>) as bits), (a, i) -> if(a.k > 0 and a.r >= __choose[i][a.k], "
+        "struct(a.r - __choose[i][a.k] as r, a.k - 1 as k, concat(array(1), a.bits) as bits), struct(a.r as r, a.k as k, concat(array(0), a.bits) as bits)), "
+        "a -> if(__fixed = 1, concat(array(1), a.bits), a.bits))")
+    perm = (F.col("__rank") + 1 - (F.col("__rank") > F.col("__seen")).cast("int")).cast("int")
+    spots = numbers.select(*strata, perm.alias("perm_id"), "__first", "__other", bits.alias("__bits"), "m").select(
+        *strata, "perm_id", "__first", "__other", "__bits", F.posexplode("m").alias("__i", "__e"))
+    chosen = F.when(F.get("__bits", F.col("__i")) == 1, F.col("__first")).otherwise(F.col("__other"))
     return spots.select(*strata, "perm_id", F.col("__e")["s"].alias(sample), chosen.alias(label))
 
 
@@ -183,13 +200,19 @@ def anosim(
     ranked = attach_by_value(pairs, table, "dist", strata, ["avg_rank"], ["sample_a", "sample_b"])
 
     # Labels as small integers, the observed grouping first.
-    seen = samples.select(*strata, F.lit(0).alias("perm_id"), F.col(sample).alias("sample"), F.col(label).alias("label"))
+    seen = samples.select(*strata, F.lit(0).alias("perm_id"), F.col(sample).alias("sample"), F.col(label).alias("label")).distinct()
     drawn = relabelings.select(*strata, "perm_id", F.col(sample).alias("sample"), F.col(label).alias("label"))
     every = durable(seen.unionByName(drawn))
-    levels = [r[0] for r in every.select("label").distinct().orderBy("label").limit(32_768).collect()]
-    if len(levels) == 32_768:
-        raise ValueError("a grouping may have at most 32767 labels")
-    code = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col("label")).cast("smallint")
+    # Label arrays are lined up by position: every sample of a stratum needs each relabeling once.
+    sizes = every.groupBy(*strata, "sample").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("perm_id").alias("d"), F.max("perm_id").alias("top"))
+    bad = sizes.groupBy(*strata).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("d").alias("d"), F.max("top").alias("top"))
+    bad = bad.filter("low <> high OR d <> high OR top <> high - 1").limit(1).collect()
+    if bad:
+        raise ValueError(f"a sample lacks a relabeling, has one twice, or perm_id does not count from 1: {bad[0]}")
+    # One row per label: a number for each, met by an ordinary join.
+    levels = durable(every.select("label").distinct().withColumn("code", F.row_number().over(Window.orderBy("label"))))
+    every = every.join(levels.withColumnRenamed("label", "__label"), F.col("label").eqNullSafe(F.col("__label")), "inner")
+    code = F.col("code")
     decks = every.groupBy(*strata, "sample").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("perm_id", code.alias("code")))), lambda c: c["code"]).alias("labels")
     )

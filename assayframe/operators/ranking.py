@@ -171,20 +171,13 @@ def exact_quantiles(
     probs: Sequence[float],
     strata: Sequence[str] = (),
     bucket_rows: int = BUCKET_ROWS,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per stratum, linearly interpolated: array column ``quantiles`` in ``probs`` order.
 
-    The built-in ``percentile`` holds all distinct values of a group in one task, so it is used only
-    where the whole column has at most ``bucket_rows`` rows.
+    One way for any number of rows, so that a cut-off does not depend on the table's size. The built-in
+    ``percentile`` would hold all distinct values of a group in one task.
     """
     known = df.filter(F.col(value).isNotNull())
-    if n_rows is None:
-        n_rows = known.count()
-    if n_rows <= bucket_rows:
-        return known.groupBy(*strata).agg(
-            F.percentile(value, F.array(*[F.lit(float(q)) for q in probs])).alias("quantiles")
-        )
     counts = running_counts(value_table(known, value, strata), value, strata, bucket_rows)
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(probs)])
     spot = F.col("q.q") * (F.col("total") - 1)
@@ -207,6 +200,6 @@ def exact_quantiles(
 
 
 def exact_median(df: DataFrame, value: str, strata: Sequence[str] = (), out: str = "median",
-                 bucket_rows: int = BUCKET_ROWS, n_rows: int | None = None) -> DataFrame:
-    q = exact_quantiles(df, value, [0.5], strata, bucket_rows, n_rows)
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    q = exact_quantiles(df, value, [0.5], strata, bucket_rows)
     return q.select(*strata, F.col("quantiles")[0].alias(out))

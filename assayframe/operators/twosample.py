@@ -41,8 +41,8 @@ def two_sample(
 ) -> DataFrame:
     """F test of equal variances, pooled and Welch t tests, and the t test the F test calls for.
 
-    The differences and ratios are control over treated. A zero variance on both sides leaves the
-    statistics NULL. ``conf`` adds the confidence limits of the mean difference.
+    The differences and ratios are control over treated. A zero variance on one side is the clearest case of
+    unequal variances: F is infinite or 0 and its p-value 0. Zero on both sides leaves the statistics NULL. ``conf`` adds the confidence limits of the mean difference.
     """
     m = arm_moments(df, groups, arm, control, treated, measures)
     c = F.col
@@ -52,7 +52,7 @@ def two_sample(
     se_p = F.sqrt(pooled * (1 / c("n1") + 1 / c("n2")))
     se_w = F.sqrt(s1 + s2)
     stats = m.withColumns({
-        "f": F.when(enough, ratio(c("v1"), c("v2"))),
+        "f": F.when(enough & (c("v2") == 0) & (c("v1") > 0), F.lit(float("inf"))).when(enough, ratio(c("v1"), c("v2"))),
         "df1": F.when(enough, c("n1") - 1),
         "df2": F.when(enough, c("n2") - 1),
     }).withColumns({
@@ -62,7 +62,10 @@ def two_sample(
         "df_welch": F.when(enough, ratio((s1 + s2) * (s1 + s2), s1 * s1 / (c("n1") - 1) + s2 * s2 / (c("n2") - 1))),
         "__sp": se_p,
         "__sw": se_w,
-    }).withColumn("p_f", f_p_value(c("f"), c("df1"), c("df2")))
+    })
+    one_sided = (c("f") == 0) | (c("f") == float("inf"))
+    stats = stats.withColumn("__f", F.when(~one_sided, c("f"))).withColumn(
+        "p_f", F.when(one_sided, 0.0).otherwise(f_p_value(c("__f"), c("df1"), c("df2")))).drop("__f")
     welch = c("p_f") < F.lit(alpha_f)
     chosen = stats.withColumns({
         "choice": F.when(c("t_pooled").isNull(), F.lit(None).cast("string")).when(welch, F.lit("welch")).otherwise(F.lit("pooled")),

@@ -15,7 +15,7 @@ from assayframe.plans.tables import (
 )
 from assayframe.session import durable
 
-PERMUTATIONS, SEED = 99, 7
+PERMUTATIONS, SEED = 999, 7
 SCALING_STEPS = 4
 ROLLUP_PCT = 4.0
 ROLLUP = {"Other_low": ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#6"], "Other_mid": ["Brand#11", "Brand#12", "Brand#13"]}

@@ -151,3 +151,28 @@ def test_filtering_against_brute_force(spark, bucket_rows):
 def test_smoother_reproduces_a_line():
     x = np.linspace(0, 1, 50)
     np.testing.assert_allclose(nbfit.smooth(x, 3 * x + 1), 3 * x + 1, atol=1e-12)
+
+
+def test_stratum_without_trend_keeps_its_features(spark):
+    from assayframe.operators.diffabund import differential
+
+    rng = np.random.default_rng(3)
+    cells, samples = [], []
+    for g in ("P", "Q"):
+        for s in range(6):
+            samples.append((g, f"{g}{s}", "xy"[s // 3]))
+            for f in range(25):
+                n = int(rng.negative_binomial(4, 0.05)) + 1 if g == "P" else 40 + f
+                cells.append((g, f"{g}{s}", f"f{f}", n))
+    df = spark.createDataFrame(cells, "g string, sample string, taxon string, n int").withColumnRenamed("taxon", "feature")
+    out = differential(df, spark.createDataFrame(samples, "g string, sample string, arm string"), "sample", "feature", "n", "arm", "x", "y", 0.1, ["g"])
+    counts = {r.g: r["count"] for r in out.groupBy("g").count().collect()}
+    assert counts == {"P": 25, "Q": 25}
+    assert out.where("g = 'Q' AND log2FoldChange IS NULL").count() == 0
+
+
+def test_filtering_needs_no_column_of_a_fixed_name(spark):
+    from assayframe.operators.diffabund import filtered_bh
+
+    df = spark.createDataFrame([(f"k{i}", i / 500, float(i)) for i in range(40)], "key string, p double, mean double")
+    assert filtered_bh(df, "p", "mean", 0.05).count() == 40

@@ -82,3 +82,36 @@ def test_exact_relabelings_refuse_three_arms(spark):
     rows = [(f"s{i}", "abc"[i % 3]) for i in range(6)]
     with pytest.raises(ValueError):
         exact_relabelings(spark.createDataFrame(rows, "sample string, arm string"), "sample", "arm")
+
+
+def test_exact_splits_have_no_sample_limit(spark):
+    from math import comb
+
+    from assayframe.operators.permutation import exact_relabelings
+
+    rows = [("big", f"s{i:02d}", "a" if i in (3, 17, 29) else "b") for i in range(30)] + [("even", f"t{i}", "ab"[i % 2]) for i in range(6)]
+    got = exact_relabelings(spark.createDataFrame(rows, "g string, sample string, arm string"), "sample", "arm", ["g"]).collect()
+    seen = {g: {s: arm for gg, s, arm in rows if gg == g} for g in ("big", "even")}
+    for g, total in (("big", comb(30, 3) - 1), ("even", comb(6, 3) // 2 - 1)):
+        splits = {}
+        for r in got:
+            if r.g == g:
+                splits.setdefault(r.perm_id, {})[r.sample] = r.arm
+        assert sorted(splits) == list(range(1, total + 1))
+        assert len({tuple(sorted(s.items())) for s in splits.values()}) == total and seen[g] not in splits.values()
+        assert all(sorted(s.values()) == sorted(seen[g].values()) for s in splits.values())
+
+
+def test_relabelings_must_be_complete(spark):
+    import pytest
+
+    from assayframe.operators.permutation import anosim
+
+    names = ["a", "b", "c", "d"]
+    pairs = spark.createDataFrame([(x, y, 0.1 * i) for i, (x, y) in enumerate((x, y) for x in names for y in names if x < y)], "sample_a string, sample_b string, dist double")
+    samples = spark.createDataFrame([(n, n < "c") for n in names] + [("a", True)], "sample string, label boolean")
+    whole = [(p, n, (n < "c") ^ (p == 1 and n in "bc")) for p in (1, 2) for n in names]
+    assert anosim(pairs, samples, "sample", "label", spark.createDataFrame(whole, "perm_id int, sample string, label boolean")).head().n_perm == 2
+    for bad in (whole[1:], [*whole[1:], whole[5]], [(p + 1, *r) for p, *r in whole]):
+        with pytest.raises(ValueError):
+            anosim(pairs, samples, "sample", "label", spark.createDataFrame(bad, "perm_id int, sample string, label boolean"))
