@@ -7,10 +7,10 @@ bounded sample of labelled rows. For scoring, the table times the layer is one s
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +22,40 @@ BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (3, 4)
 #: Labelled rows per class that the model is fitted on.
 SAMPLE = 1500
 PASSES, RATE, SEED, THRESHOLD = 12, 0.5, 11, 0.5
-
-
-def pieces(word: str) -> np.ndarray:
-    """Buckets of a word and its n-grams, with marks at both ends; case and punctuation are kept."""
-    w = f"<{word}>"
-    names = {w, *(w[i:i + n] for n in ORDERS for i in range(len(w) - n + 1))}
-    return np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in sorted(names)), dtype=np.int32, count=len(names))
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose values a worker remembers, and characters it scores at once; both only save time and memory.
+REMEMBERED, CHARACTERS = 1 << 18, 1 << 20
+#: Stands for a word that follows itself; no word holds a blank.
+REPEAT = "= "
+
+
+def pieces(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word, bucket) of every piece: the word and its n-grams, with marks at both ends; case and punctuation are kept."""
+    cp = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    last = np.cumsum(size)
+    owner = np.repeat(np.arange(len(words)), size)
+    inside = np.arange(len(cp)) - (last - size)[owner]
+    power = np.full(size.max(initial=1), MULTIPLIER, dtype=np.uint64)
+    np.multiply.accumulate(power, out=power)
+    owners, hashes = [np.arange(len(words))], [np.add.reduceat(cp * power[inside], last - size) if len(words) else cp]
+    for n in ORDERS:
+        at = np.flatnonzero(inside + n <= size[owner])
+        owners.append(owner[at])
+        hashes.append(sum((cp[at + k] * power_k for k, power_k in enumerate(_powers(n))), np.full(len(at), n, dtype=np.uint64)))
+    h = np.concatenate(hashes)
+    h = (h ^ (h >> np.uint64(29))) * MULTIPLIER
+    return np.concatenate(owners), (h >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(n, MULTIPLIER, dtype=np.uint64))
 
 
 def counted(text: str | None) -> Counter:
     """Words of the whole text with their counts; a word that follows itself also counts as the pair."""
     words = (text or "").split()
-    return Counter(words) + Counter("= " for a, b in zip(words, words[1:]) if a == b)
+    return Counter(words) + Counter(REPEAT for a, b in zip(words, words[1:]) if a == b)
 
 
 @dataclass
@@ -42,21 +63,47 @@ class Model:
     piece: np.ndarray  # buckets x 2: what each piece adds to the classes' log-odds
     bias: np.ndarray
 
+    def values(self, words: list[str]) -> np.ndarray:
+        """What each word adds to the log-odds: the average of its pieces."""
+        owner, bucket = pieces(words)
+        slope = self.piece[:, 1] - self.piece[:, 0]
+        return np.bincount(owner, slope[bucket], len(words)) / np.bincount(owner, minlength=len(words))
+
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
-        """Probability of class 1."""
-        known: dict[str, float] = {}
-        slope, out = self.piece[:, 1] - self.piece[:, 0], np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            total = n = 0.0
-            for w, c in counted(text).items():
-                if (v := known.get(w)) is None:
-                    v = known[w] = float(slope[pieces(w)].mean())
-                total += v * c
-                n += c
-            out[i] = self.bias[1] - self.bias[0] + (total / n if n else 0.0)
+        """Probability of class 1. Words already met by this worker are looked up."""
+        known, out = _known(self), np.full(len(texts), self.bias[1] - self.bias[0])
+        done = 0
+        while done < len(texts):
+            raw, size, unseen = [], 0, set()
+            while done + len(raw) < len(texts) and size < CHARACTERS:
+                text = texts[done + len(raw)] or ""
+                raw.append(text.split())
+                size += len(text)
+                unseen.update(set(raw[-1]).difference(known))
+            fresh = sorted(unseen)
+            if len(known) + len(fresh) > REMEMBERED:
+                known.clear()
+                known[REPEAT] = float(self.values([REPEAT])[0])
+                fresh = sorted(set().union(*raw))
+            known.update(zip(fresh, self.values(fresh).tolist()))
+            for i, words in enumerate(raw, done):
+                if words:
+                    again = sum(map(eq, words, words[1:]))
+                    out[i] += (sum(map(known.__getitem__, words)) + again * known[REPEAT]) / (len(words) + again)
+            done += len(raw)
         return 1 / (1 + np.exp(-out))
 
 
+_KNOWN: list = [None, {}]
+
+
+def _known(model: Model) -> dict[str, float]:
+    """Values of the words met so far under this model."""
+    if _KNOWN[0] is not model:
+        _KNOWN[:] = [model, {REPEAT: float(model.values([REPEAT])[0])}]
+    return _KNOWN[1]
+
+
 def train(samples: Sequence[tuple[int, Counter]]) -> Model:
     """SGD on (label, word counts). Without both labels the score is flat: their share, or one half."""
     labels = [s[0] for s in samples]
@@ -65,18 +112,14 @@ def train(samples: Sequence[tuple[int, Counter]]) -> Model:
         return Model(np.zeros((BUCKETS, 2)), np.array([0.0, np.log(share / (1 - share))]))
     rng = np.random.default_rng(SEED)
     table, layer, bias = rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH, rng.uniform(-1, 1, (WIDTH, 2)) / WIDTH, np.zeros(2)
-    cache: dict[str, np.ndarray] = {}
     docs = []
     for label, words in samples:
         total = sum(words.values())
-        ids, amounts = [], []
-        for w, c in words.items():
-            p = cache.setdefault(w, pieces(w))
-            ids.append(p)
-            amounts.append(np.full(len(p), c / total / len(p)))
-        if ids:
-            used, inverse = np.unique(np.concatenate(ids), return_inverse=True)
-            docs.append((label, used, np.bincount(inverse, np.concatenate(amounts))))
+        if total:
+            owner, bucket = pieces(list(words))
+            share = np.fromiter(words.values(), dtype=float) / total / np.bincount(owner)
+            used, inverse = np.unique(bucket, return_inverse=True)
+            docs.append((label, used, np.bincount(inverse, share[owner])))
     steps, done = PASSES * len(docs), 0
     for _ in range(PASSES):
         for k in rng.permutation(len(docs)):
