@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayframe.functions.columns import ratio, strict, value_at
 from assayframe.operators.joins import with_total
+from assayframe.session import durable
 
 
 def mean_sd(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -86,9 +87,9 @@ def rollup_rare(
 ) -> DataFrame:
     """Per sample and legend label, the summed value after rare categories are pooled.
 
-    The fact table is summed once to (sample, category); everything after works on that.
+    The fact table is summed once to (sample, category), which is written; everything after reads that.
     """
-    per_sample = df.groupBy(sample, category).agg(F.sum(value).alias("__v"))
+    per_sample = durable(df.groupBy(sample, category).agg(F.sum(value).alias("__v")))
     shares = share_of_total(per_sample, [category], "__v")
     labels = rollup_labels(shares, category, "share_pct", threshold, buckets, other)
     named = per_sample.join(labels.select(category, "legend_label"), category, "inner")
