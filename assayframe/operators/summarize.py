@@ -53,6 +53,11 @@ def richness(df: DataFrame, sample: Sequence[str], abundance: str, out: str = "r
     return df.groupBy(*sample).agg(F.count_if(F.col(abundance) > 0).alias(out))
 
 
+def distinct_count(df: DataFrame, keys: Sequence[str], column: str, out: str = "n_distinct") -> DataFrame:
+    """Number of distinct non-NULL values per group. Values are made distinct first, so a hot group is counted by many tasks."""
+    return df.select(*keys, column).distinct().groupBy(*keys).agg(F.count(column).alias(out))
+
+
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str, out: str = "share_pct") -> DataFrame:
     """Per-key total and its percentage of the grand total."""
     per_key = df.groupBy(*keys).agg(F.sum(value).alias("total"))
