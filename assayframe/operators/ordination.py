@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from assayframe.operators.ranking import BUCKET_ROWS, _bucketed, running_counts, value_table
+from assayframe.operators.ranking import BUCKET_ROWS, running_counts, value_table
 from assayframe.session import durable, ship
 
 
@@ -37,25 +37,34 @@ def group_ellipse(df: DataFrame, groups: Sequence[str], x: str, y: str, conf: fl
 
 
 def _pool(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Group number of each value after pooling adjacent violators, so that group means do not fall."""
-    sums, sizes, counts = [], [], []
-    for v, w in zip(values * weights, weights):
-        sums.append(v)
-        sizes.append(w)
-        counts.append(1)
-        while len(sums) > 1 and sums[-2] * sizes[-1] > sums[-1] * sizes[-2]:
-            s, z, c = sums.pop(), sizes.pop(), counts.pop()
-            sums[-1] += s
-            sizes[-1] += z
-            counts[-1] += c
-    return np.repeat(np.arange(len(counts)), counts)
+    """Group number of each value after pooling adjacent violators, so that group means do not fall.
+
+    Each pass merges every falling run at once; runs that fall belong together in the final fit, whatever the order of merging.
+    """
+    sums, sizes, owner = values * weights, weights.astype(float), np.arange(len(values))
+    while (fall := sums[:-1] * sizes[1:] > sums[1:] * sizes[:-1]).any():
+        first = np.r_[True, ~fall]
+        starts = np.flatnonzero(first)
+        sums, sizes = np.add.reduceat(sums, starts), np.add.reduceat(sizes, starts)
+        owner = (np.cumsum(first) - 1)[owner]
+    return owner
 
 
 def _pool_pairs(pairs: pd.DataFrame) -> pd.DataFrame:
     pairs = pairs.sort_values(["dist", "d"], kind="stable")
     d = pairs["d"].to_numpy(dtype=float)
     group = _pool(d, np.ones(len(d)))
-    return pairs.assign(block=group.astype(np.int64), local_fit=(np.bincount(group, d) / np.bincount(group))[group])
+    return pairs.assign(fit=(np.bincount(group, d) / np.bincount(group))[group])
+
+
+def _pool_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pool a sorted partition batch by batch; blocks are numbered on, and never reach over strata."""
+    n = 0
+    for batch in batches:
+        for _, pairs in batch.groupby("strata", sort=False):
+            group = _pool(pairs["d"].to_numpy(dtype=float), np.ones(len(pairs)))
+            yield pairs.assign(block=group.astype(np.int64) + n)
+            n += int(group[-1]) + 1
 
 
 def _pool_blocks(blocks: pd.DataFrame) -> pd.DataFrame:
@@ -97,21 +106,23 @@ def _merge_blocks(blocks: DataFrame, task_rows: int) -> DataFrame:
 def monotone_fit(pairs: DataFrame, buckets: int, task_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``fit``: the least-squares monotone regression of ``d`` on the order of ``dist``, per ``strata``.
 
-    Pairs with equal ``dist`` are ordered by ``d``. ``pairs`` carries ``bucket``, ordered parts of the
-    ``dist`` range small enough for a task; each is pooled by itself, then blocks are pooled across buckets.
+    Pairs with equal ``dist`` are ordered by ``d``. More than one bucket: the pairs are cut into ranges of all their columns,
+    ``dist`` and ``d`` first, so that equal distances, however many, are cut like others. Each range is pooled by itself,
+    then blocks are pooled across ranges.
     """
-    fields = T.StructType([pairs.schema[c] for c in pairs.columns]).add("block", "long").add("local_fit", "double")
-    local = pairs.groupBy("strata", "bucket").applyInPandas(_pool_pairs, fields)
     if buckets == 1:
-        return local.withColumnRenamed("local_fit", "fit").drop("block")
-    local = durable(local.drop("local_fit"))
+        return pairs.groupBy("strata").applyInPandas(_pool_pairs, T.StructType([*pairs.schema.fields]).add("fit", "double"))
+    order = ["strata", "dist", "d"]
+    order += [c for c in pairs.columns if c not in order]
+    dealt = pairs.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("bucket", F.spark_partition_id())
+    local = durable(dealt.mapInPandas(_pool_sorted, T.StructType([*dealt.schema.fields]).add("block", "long")))
     pos = F.col("bucket").cast("long") * F.lit(1 << 40) + F.col("block")
     blocks = durable(local.groupBy("strata", pos.alias("pos")).agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("w")))
     roots = _merge_blocks(blocks, task_rows)
     sums = roots.join(blocks, ["strata", "pos"]).groupBy("strata", "root").agg((F.sum("s") / F.sum("w")).alias("fit"))
     fits = roots.join(sums, ["strata", "root"]).select(F.col("strata").alias("__strata"), F.col("pos").alias("__pos"), "fit")
     placed = local.withColumn("__at", pos)
-    return placed.join(fits, (F.col("strata") == F.col("__strata")) & (F.col("__at") == F.col("__pos")), "left").drop("__strata", "__pos", "__at", "block")
+    return placed.join(fits, (F.col("strata") == F.col("__strata")) & (F.col("__at") == F.col("__pos")), "left").drop("__strata", "__pos", "__at", "block", "bucket")
 
 
 def _pivot_axis(both: DataFrame, names: DataFrame, axis: str) -> DataFrame:
@@ -141,11 +152,15 @@ def _with_distance(pairs: DataFrame, coords: DataFrame) -> DataFrame:
 
 def nonmetric_scaling(
     pairs: DataFrame,
-    steps: int = 20,
+    steps: int = 200,
     strata: Sequence[str] = (),
     task_rows: int = BUCKET_ROWS,
+    tolerance: float = 1e-5,
 ) -> tuple[DataFrame, DataFrame]:
-    """Two-dimensional non-metric scaling of a pair table by a fixed number of majorisation steps.
+    """Two-dimensional non-metric scaling of a pair table by majorisation.
+
+    It ends when a step lowers the stress, summed over the strata, by less than ``tolerance``, or after ``steps`` steps: a trace
+    of ``steps`` + 1 rows has not settled. With a tolerance of 0 all steps are taken.
 
     Returns ``(strata, sample, axis1, axis2)``, centred and turned to its principal axes, and
     ``(strata, step, stress)`` with one row per step. Each step joins the coordinates to the pairs, fits the
@@ -155,9 +170,9 @@ def nonmetric_scaling(
     ship(pairs.sparkSession)
     key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in strata]) if strata else F.lit("")
     named = pairs.filter("dist IS NOT NULL").select(key.alias("strata"), *strata, "sample_a", "sample_b", F.round("dist", 12).alias("dist"))
-    lookup = named.select("strata", *strata).distinct()
-    bucketed, buckets = _bucketed(named.drop(*strata), "dist", task_rows)
-    base = durable(bucketed)
+    base = durable(named)
+    buckets = max(1, math.ceil(base.count() / task_rows))
+    lookup = base.select("strata", *strata).distinct()
 
     both = base.select("strata", F.inline(F.array(
         F.struct(F.col("sample_a").alias("s"), F.col("sample_b").alias("o"), (F.col("dist") ** 2).alias("sq")),
@@ -171,17 +186,19 @@ def nonmetric_scaling(
     )
     coords = durable(x.join(_pivot_axis(gap.select("strata", "s", "o", "sq"), names, "y"), ["strata", "sample"]))
 
-    trace = None
+    trace = before = None
     for step in range(steps + 1):
         placed = _with_distance(base, coords)
         # The fit is scaled to the spread of the distances, so that the map cannot shrink to a point.
-        fitted = durable(monotone_fit(placed.select("strata", "bucket", "sample_a", "sample_b", "dist", "xa", "ya", "xb", "yb", "d"), buckets, task_rows))
-        sums = fitted.groupBy("strata").agg(
-            F.sum((F.col("d") - F.col("fit")) ** 2).alias("off"), F.sum(F.col("d") ** 2).alias("dd"), F.sum(F.col("fit") ** 2).alias("ff"))
+        fitted = durable(monotone_fit(placed.select("strata", "sample_a", "sample_b", "dist", "xa", "ya", "xb", "yb", "d"), buckets, task_rows))
+        sums = durable(fitted.groupBy("strata").agg(
+            F.sum((F.col("d") - F.col("fit")) ** 2).alias("off"), F.sum(F.col("d") ** 2).alias("dd"), F.sum(F.col("fit") ** 2).alias("ff")))
         now = sums.select("strata", F.lit(step).alias("step"), F.sqrt(F.try_divide("off", "dd")).alias("stress"))
         trace = now if trace is None else trace.unionByName(now)
-        if step == steps:
+        level = now.agg(F.sum("stress")).head()[0] or 0.0 if tolerance > 0 else None
+        if step == steps or (level is not None and before is not None and before - level < tolerance):
             break
+        before = level
         scale = sums.select("strata", F.sqrt(F.try_divide("dd", "ff")).alias("k"))
         pull = F.coalesce(F.try_divide(F.col("fit") * F.col("k"), F.col("d")), F.lit(0.0))
         dx, dy = (F.col("xa") - F.col("xb")) * pull, (F.col("ya") - F.col("yb")) * pull

@@ -16,7 +16,7 @@ from assayframe.plans.tables import (
 from assayframe.session import durable
 
 PERMUTATIONS, SEED = 999, 7
-SCALING_STEPS = 4
+SCALING_STEPS = 20
 ROLLUP_PCT = 4.0
 ROLLUP = {"Other_low": ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#6"], "Other_mid": ["Brand#11", "Brand#12", "Brand#13"]}
 
@@ -106,7 +106,7 @@ def avg_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _map(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return nonmetric_scaling(_nation_pairs(spark, sf), steps=SCALING_STEPS)
+    return nonmetric_scaling(_nation_pairs(spark, sf), steps=SCALING_STEPS, tolerance=0)
 
 
 def nmds_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,6 +142,42 @@ cells AS (SELECT l_suppkey AS sample, p_brand || '|' || p_type AS feature, count
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 
 
+def _axis_sql(name: str, pairs: str, axis: str) -> str:
+    """One start axis: projection on the line from the first sample to the one farthest from it."""
+    return f"""
+{name}_from AS MATERIALIZED (SELECT o AS sample, sq FROM {pairs} WHERE s = (SELECT min(s) FROM {pairs})),
+{name}_far AS MATERIALIZED (SELECT sample AS p2, sq AS sq12 FROM {name}_from ORDER BY sq DESC, sample DESC LIMIT 1),
+{name} AS MATERIALIZED (SELECT n.sample, coalesce((coalesce(f.sq, 0) + sq12 - coalesce(g.sq, 0)) / nullif(2 * sqrt(sq12), 0), 0) AS {axis}
+  FROM (SELECT DISTINCT s AS sample FROM {pairs}) n CROSS JOIN {name}_far LEFT JOIN {name}_from f ON f.sample = n.sample
+  LEFT JOIN {pairs} g ON g.s = p2 AND g.o = n.sample)"""
+
+
+def _step_sql(t: int) -> str:
+    """One step: distances of the map, the monotone fit by its max-min formula, stress, and the moves."""
+    return f"""
+placed{t} AS MATERIALIZED (SELECT *, row_number() OVER w AS rn, sum(d) OVER (w ROWS UNBOUNDED PRECEDING) AS c FROM (
+    SELECT sample_a, sample_b, dist, a.x - b.x AS dx, a.y - b.y AS dy, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d
+    FROM rounded JOIN map{t} a ON a.sample = sample_a JOIN map{t} b ON b.sample = sample_b) WINDOW w AS (ORDER BY dist, d)),
+least{t} AS MATERIALIZED (SELECT i.rn AS i, j.rn AS rn, min((j.c - i.c + i.d) / (j.rn - i.rn + 1)) OVER (PARTITION BY i.rn ORDER BY j.rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g
+  FROM placed{t} i JOIN placed{t} j ON j.rn >= i.rn),
+fit{t} AS MATERIALIZED (SELECT p.*, f.fit FROM placed{t} p JOIN (SELECT rn, max(g) AS fit FROM least{t} GROUP BY 1) f USING (rn)),
+sums{t} AS MATERIALIZED (SELECT sum((d - fit) ** 2) AS off, sum(d ** 2) AS dd, sum(fit ** 2) AS ff FROM fit{t}),
+move{t} AS MATERIALIZED (SELECT sample_a, sample_b, dx * coalesce(fit * sqrt(dd / ff) / nullif(d, 0), 0) AS mx, dy * coalesce(fit * sqrt(dd / ff) / nullif(d, 0), 0) AS my FROM fit{t}, sums{t}),
+map{t + 1} AS MATERIALIZED (SELECT sample, sum(mx) / (count(*) + 1) AS x, sum(my) / (count(*) + 1) AS y FROM (
+    SELECT sample_a AS sample, mx, my FROM move{t} UNION ALL SELECT sample_b, -mx, -my FROM move{t}) GROUP BY 1)"""
+
+
+def _scaling_sql() -> str:
+    steps = ",".join(_step_sql(t) for t in range(SCALING_STEPS + 1))
+    return f"""WITH {ABUND_SQL}, {_dense_pairs('abund')},
+rounded AS MATERIALIZED (SELECT sample_a, sample_b, round(dist, 12) AS dist FROM pairs),
+both1 AS MATERIALIZED (SELECT sample_a AS s, sample_b AS o, dist ** 2 AS sq FROM rounded UNION ALL SELECT sample_b, sample_a, dist ** 2 FROM rounded),
+{_axis_sql('first', 'both1', 'x')},
+both2 AS MATERIALIZED (SELECT s, o, greatest(sq - (a.x - b.x) ** 2, 0) AS sq FROM both1 JOIN first a ON a.sample = s JOIN first b ON b.sample = o),
+{_axis_sql('second', 'both2', 'y')},
+map0 AS MATERIALIZED (SELECT sample, x, y FROM first JOIN second USING (sample)),{steps}"""
+
+
 def _dense_pairs(source: str, strata: str = "") -> str:
     """Distances on the dense grid, in the absolute-difference form."""
     s = f"{strata}, " if strata else ""
@@ -213,6 +249,10 @@ m AS (SELECT label, count(*) AS n, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS a,
 e AS (SELECT *, (a + b) / 2 AS mid, sqrt((a - b) * (a - b) / 4 + c * c) AS gap, sqrt(-2 * ln(1 - 0.95)) AS rad FROM m)
 SELECT label, n, {fx('cx')} AS centre_x, {fx('cy')} AS centre_y, {fx('rad * sqrt(mid + gap)')} AS half_long,
   {fx('rad * sqrt(greatest(mid - gap, 0))')} AS half_short, {fx('atan2(2 * c, a - b) / 2')} AS angle FROM e""",
+    "nmds_points": f"""{_scaling_sql()},
+mid AS (SELECT avg(x) AS cx, avg(y) AS cy, coalesce(atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2, 0) AS turn FROM map{SCALING_STEPS})
+SELECT sample, {fx('(x - cx) * cos(turn) + (y - cy) * sin(turn)')} AS axis1, {fx('(y - cy) * cos(turn) - (x - cx) * sin(turn)')} AS axis2 FROM map{SCALING_STEPS}, mid""",
+    "nmds_stress": _scaling_sql() + " UNION ALL ".join(f" SELECT {t}::INTEGER AS step, {fx('sqrt(off / nullif(dd, 0))')} AS stress FROM sums{t}" for t in range(SCALING_STEPS + 1)),
     "avg_rank": """
 WITH o AS (SELECT o_orderkey, o_orderpriority AS p, floor(o_totalprice / 100) AS v FROM orders)
 SELECT o_orderkey, rank() OVER (PARTITION BY p ORDER BY v) + (count(*) OVER (PARTITION BY p, v) - 1) / 2.0::DOUBLE AS avg_rank FROM o""",

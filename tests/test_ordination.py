@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayframe.operators.ordination import _pool, monotone_fit, nonmetric_scaling
 from assayframe.session import durable
@@ -26,18 +27,33 @@ def test_bucketed_fit_equals_one_task_fit(spark, falling):
     rng = np.random.default_rng(1)
     dist = np.sort(rng.random(90))
     d = (-dist if falling else dist) + rng.normal(0, 0.3, 90) + 2
-    rows = [("s", int(i // 9), float(a), float(b)) for i, (a, b) in enumerate(zip(dist, d))]
-    df = spark.createDataFrame(rows, "strata string, bucket int, dist double, d double")
+    df = spark.createDataFrame([("s", float(a), float(b)) for a, b in zip(dist, d)], "strata string, dist double, d double")
     got = sorted((r.dist, r.fit) for r in monotone_fit(df, buckets=10, task_rows=12).collect())
     np.testing.assert_allclose([f for _, f in got], brute_monotone(d), atol=1e-12)
 
 
+def test_tied_distances_are_spread_over_ranges(spark):
+    rng = np.random.default_rng(3)
+    dist, d = np.where(rng.random(400) < 0.9, 1.0, rng.random(400)), rng.random(400) + 1
+    df = spark.createDataFrame([(s, float(a), float(b), i) for s in ("s", "t") for i, (a, b) in enumerate(zip(dist, d))], "strata string, dist double, d double, i int")
+    dealt = df.repartitionByRange(16, "strata", "dist", "d", "i").groupBy(F.spark_partition_id()).count()
+    assert dealt.agg(F.max("count")).head()[0] <= 100
+    many = {(r.strata, r.i): r.fit for r in monotone_fit(df, buckets=16, task_rows=50).collect()}
+    one = {(r.strata, r.i): r.fit for r in monotone_fit(df, buckets=1).collect()}
+    order = np.lexsort((d, dist))
+    for s in ("s", "t"):
+        np.testing.assert_allclose([one[s, i] for i in order], brute_monotone(d[order]), atol=1e-12)
+        np.testing.assert_allclose([many[s, i] for i in order], brute_monotone(d[order]), atol=1e-12)
+
+
 def test_scaling_recovers_a_plane(spark):
     rng = np.random.default_rng(2)
     pts = rng.random((14, 2))
     rows = [(f"s{i:02d}", f"s{j:02d}", float(np.hypot(*(pts[i] - pts[j]))) ** 2) for i in range(14) for j in range(i + 1, 14)]
     pairs = durable(spark.createDataFrame(rows, "sample_a string, sample_b string, dist double"))
-    points, trace = nonmetric_scaling(pairs, steps=6)
+    early = nonmetric_scaling(pairs, steps=6, tolerance=1.0)[1]
+    assert early.count() == 2
+    points, trace = nonmetric_scaling(pairs, steps=6, tolerance=0)
     stress = [r.stress for r in trace.orderBy("step").collect()]
     assert len(stress) == 7 and all(b <= a + 1e-12 for a, b in zip(stress, stress[1:])) and stress[-1] < 0.12
     xy = np.array([(r.axis1, r.axis2) for r in points.orderBy("sample").collect()])

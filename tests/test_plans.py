@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from assayframe.operators.distance import bray_curtis
 from assayframe.operators.joins import with_total
+from assayframe.operators.summarize import mean_sd
 from assayframe.plans import tables
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +29,8 @@ def test_scans_read_only_needed_columns(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    assert "PushedFilters: [IsNotNull(s_nationkey), LessThan(s_nationkey,20)]" in plan(entry.queries()["full_outer_nulls"](spark, SF))
+    text = plan(mean_sd(tables.load(spark, SF, "supplier").filter("s_nationkey < 20"), ["s_nationkey"], ["s_acctbal"]))
+    assert "PushedFilters: [IsNotNull(s_nationkey), LessThan(s_nationkey,20)]" in text
 
 
 def test_summaries_shuffle_once(spark):
@@ -43,6 +46,14 @@ def test_no_cross_or_nested_loop_joins(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 
 
+def test_cells_of_a_feature_are_never_dealt_by_the_feature_alone(spark):
+    cells = spark.createDataFrame([(f"s{i}", "everywhere", 1.0) for i in range(40)], "sample string, feature string, v double")
+    text = plan(bray_curtis(cells, "sample", "feature", "v", block_samples=4))
+    # Only the lists of blocks, distinct before they are dealt, are grouped by feature.
+    by_feature = re.findall(r"Exchange hashpartitioning\(feature#\d+, \d+\)", text)
+    assert len(by_feature) <= 1 and re.search(r"hashpartitioning\(feature#\d+, block#\d+, \d+\)", text)
+
+
 def test_small_sides_are_broadcast_by_size(spark):
     assert "BroadcastHashJoin" in plan(entry.queries()["rule_window"](spark, SF))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

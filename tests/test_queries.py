@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables")
-SLOW = {"anosim_perm", "anosim_exact", "rejections_by_cutoff", "result_summary", "norm_mean"}  # check.py runs these
+SLOW = {"nmds_points", "nmds_stress", "anosim_perm", "anosim_exact", "rejections_by_cutoff", "result_summary", "norm_mean"}  # check.py runs these
 
 
 @pytest.fixture(scope="module")
