@@ -12,12 +12,14 @@ shuffled nor stored. Only verified overlaps leave the scan.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayframe.llm.common import durable, whole_row
 
-#: Places looked at. Together the two masks find every 13-word stretch in which two words were exchanged.
+#: Places looked at. Together the two masks find every 13-word stretch in which two words were exchanged. Shorter texts and
+#: smaller shares are met by runs of words instead, as long as the exchanged words must leave one.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 4, 6, 9, 10))
 WINDOW = 13
 #: Seeds per broadcast block: about 60 bytes each, so some 15 MB.
@@ -30,10 +32,27 @@ def _words(text: Column) -> Column:
     return F.transform(plain, lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, words: str, place: str) -> DataFrame:
-    """One row per place and mask that fits: adds ``place`` and ``seed``. Works on the array in place, without lambdas."""
+def masks_for(size: int, share: float) -> tuple[tuple[int, ...], ...]:
+    """Masks of which every stretch of ``size`` words with at least ``share`` agreeing ones holds one: n agreeing words
+    between size - n others leave a run of n / (size - n + 1) at least."""
+    agree = math.ceil(size * share)
+    if size >= WINDOW and size - agree <= 2:
+        return MASKS
+    return (tuple(range(math.ceil(agree / (size - agree + 1)))),)
+
+
+def _seeds(rows: DataFrame, words: str, place: str, masks: Sequence[tuple[int, ...]], own: dict[tuple[int, ...], list[int]] | None = None) -> DataFrame:
+    """One row per place and mask that fits: adds ``place`` and ``seed``. Works on the array in place, without lambdas.
+
+    ``own`` names the sizes (WINDOW for all from there on) of the texts that a mask is for.
+    """
     rows = rows.select("*", F.posexplode(F.col(words)).alias(place, "_word"))
-    hashes = [F.when(F.col(place) + max(m) < F.size(words), F.xxhash64(F.lit(k), *[F.get(words, F.col(place) + o) for o in m])) for k, m in enumerate(MASKS)]
+    hashes = []
+    for k, m in enumerate(masks):
+        fits = F.col(place) + max(m) < F.size(words)
+        if own is not None:
+            fits &= F.least(F.lit(WINDOW), F.size(words)).isin(own[m])
+        hashes.append(F.when(fits, F.xxhash64(F.lit(k), *[F.get(words, F.col(place) + o) for o in m])))
     return rows.select("*", F.explode(F.array(*hashes)).alias("seed")).where("seed IS NOT NULL").drop("_word")
 
 
@@ -43,19 +62,26 @@ def overlaps(docs: DataFrame, bench: DataFrame, key: Column, share: float = 0.8,
 
     One row per document and benchmark text that share a stretch of WINDOW words (the whole text, if it is shorter) in which at least ``share`` of the words
     agree: ``overlap`` is the most agreeing words of such a stretch, ``place`` the first place of the document, counted in words, at which a best one begins.
-    Benchmark rows with equal words count once, under their smallest id. Texts with fewer words than the shortest mask,
-    null or empty ones among them, overlap with nothing. Rows repeated whole give one row. Other columns are ignored.
+    Benchmark rows with equal words count once, under their smallest id. Texts without words overlap with nothing.
+    Rows repeated whole give one row. Other columns are ignored.
     """
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
     items = bench.select(F.col(item_col).alias("item_id"), _words(F.col(item_text)).alias("item"))
-    items = durable(items.groupBy("item").agg(F.min("item_id").alias("item_id")).where(F.size("item") >= min(max(m) for m in MASKS) + 1))
-    seeds = durable(_seeds(items.withColumn("_item", F.xxhash64("item")), "item", "q").select("seed", "q", "_item"))
+    items = durable(items.groupBy("item").agg(F.min("item_id").alias("item_id")).where(F.size("item") > 0))
+    own: dict[tuple[int, ...], list[int]] = {}
+    for r in items.select(F.least(F.lit(WINDOW), F.size("item")).alias("n")).distinct().orderBy(F.desc("n")).collect():
+        for m in masks_for(r["n"], share):
+            own.setdefault(m, []).append(r["n"])
+    masks = list(own) or list(MASKS)
+    seeds = durable(_seeds(items.withColumn("_item", F.xxhash64("item")), "item", "q", masks, own or dict.fromkeys(MASKS, [WINDOW])).select("seed", "q", "_item"))
     blocks = max(1, math.ceil(seeds.count() / block))
-    texts = docs.select(key.alias("_key"), F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("w")).where(F.size("w") >= min(max(m) for m in MASKS) + 1)
+    texts = docs.select(key.alias("_key"), F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("w")).where(F.size("w") > min(max(m) for m in masks))
     found = None
     for b in range(blocks):
         # Places of one benchmark text stay in one block with it; both sides of the block are bounded by its size.
         mine = F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b
-        part = _seeds(texts, "w", "p").join(F.broadcast(seeds.where(mine)), "seed")
+        part = _seeds(texts, "w", "p", masks).join(F.broadcast(seeds.where(mine)), "seed")
         part = part.join(F.broadcast(items.withColumn("_item", F.xxhash64("item")).where(mine)), "_item")
         found = part if found is None else found.unionByName(part)
     size = F.least(F.lit(WINDOW), F.size("item"))
