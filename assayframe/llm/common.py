@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayframe.session import durable
 
-__all__ = ["durable", "read", "remainder", "whole_row", "sampled"]
+__all__ = ["durable", "read", "remainder", "whole_row", "sampled", "chosen"]
+
+#: Parts of the hash range that a share is compared with.
+FINE = 1 << 62
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -23,8 +26,14 @@ def whole_row(df: DataFrame, **extra: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[v.alias(k) for k, v in extra.items()])
 
 
+def chosen(share: float, *key: Column) -> Column:
+    """Whether a row is among ``share`` of all, by a hash of its key."""
+    return F.pmod(F.xxhash64(*key), F.lit(FINE)) < int(share * FINE)
+
+
 def sampled(rows: DataFrame, classes: Column, key: Column, bound: int) -> DataFrame:
-    """About ``bound`` rows of each class (all of a smaller class), chosen by a hash of the key, with their ``_class``.
+    """About ``bound`` rows of each class (all of a smaller class), chosen by a hash of the key, with their ``_class`` and its
+    ``_weight``: how many rows of the class each stands for. A class of which the hash takes no row is an error.
 
     The class sizes are counted over all rows; the classes are few (labels or languages). Rows without a class go.
     """
@@ -32,6 +41,11 @@ def sampled(rows: DataFrame, classes: Column, key: Column, bound: int) -> DataFr
     sizes = {r["_class"]: r["count"] for r in known.groupBy("_class").count().collect()}
     take = F.lit(False)
     for value, n in sizes.items():
-        share = min(1.0, bound / n)
-        take = take | ((F.col("_class") == F.lit(value)) & (F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)))
-    return known.where(take)
+        take = take | ((F.col("_class") == F.lit(value)) & chosen(min(1.0, bound / n), key, F.lit("sample")))
+    taken = {r["_class"]: r["count"] for r in known.where(take).groupBy("_class").count().collect()} if any(n > bound for n in sizes.values()) else sizes
+    if lost := sorted(str(v) for v in sizes if v not in taken):
+        raise ValueError(f"no row was sampled of {', '.join(lost)}: do the keys differ?")
+    weight = F.lit(1.0)
+    for value, n in sizes.items():
+        weight = F.when(F.col("_class") == F.lit(value), F.lit(n / taken[value])).otherwise(weight)
+    return known.where(take).withColumn("_weight", weight)

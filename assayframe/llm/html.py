@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayframe.llm.boosting import Trees, fit_trees
+from assayframe.llm.common import chosen
 
 #: Pages the model is fitted on, and layouts drawn from each.
 SAMPLE, LAYOUTS, SEED = 200, 4, 3
@@ -439,9 +440,11 @@ def extract_pages(pages: DataFrame, model: Trees) -> DataFrame:
 
 def fit(pages: DataFrame, bound: int = SAMPLE) -> Trees:
     """Fit on about ``bound`` pages, chosen by a hash of their id."""
-    n = pages.count()
-    share = min(1.0, bound / n) if n else 0.0
-    rows = pages.where("html IS NOT NULL").where(F.pmod(F.xxhash64("page_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)).select("page_id", "html").collect()
+    known = pages.where("html IS NOT NULL")
+    n = known.count()
+    rows = known.where(chosen(min(1.0, bound / max(1, n)), F.col("page_id"), F.lit("sample"))).select("page_id", "html").collect()
+    if n and not rows:
+        raise ValueError("no page was sampled: do the ids differ?")
     return train([r["html"] for r in sorted(rows, key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["html"]))])
 
 
