@@ -80,14 +80,15 @@ class Isotonic:
         return np.interp(margin, self.at, self.share) if len(self.at) else 1 / (1 + np.exp(-margin))
 
 
-def fit_isotonic(margin: np.ndarray, y: np.ndarray, prior: float = 0.5) -> Isotonic:
+def fit_isotonic(margin: np.ndarray, y: np.ndarray, prior: float = 0.5, weight: np.ndarray | None = None) -> Isotonic:
     """Pool adjacent violators on the sorted margins; every pool is drawn a little towards the overall share, so that no score is 0 or 1,
     and stands at its mean margin: scores in between are interpolated."""
     order = np.argsort(margin, kind="stable")
-    overall = y.mean() if len(y) else 0.5
-    pools: list[list[float]] = []  # sum of labels, size, sum of margins
-    for m, label in zip(margin[order].tolist(), y[order].tolist()):
-        pools.append([label, 1, m])
+    w = np.ones(len(y)) if weight is None else weight
+    overall = np.average(y, weights=w) if len(y) else 0.5
+    pools: list[list[float]] = []  # weighted sum of labels, weight, weighted sum of margins
+    for m, label, size in zip(margin[order].tolist(), y[order].tolist(), w[order].tolist()):
+        pools.append([label * size, size, m * size])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, total = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2] + total]

@@ -104,8 +104,9 @@ def _known(model: Model) -> dict[str, float]:
     return _KNOWN[1]
 
 
-def train(samples: Sequence[tuple[int, Counter]]) -> Model:
-    """SGD on (label, word counts). Without both labels the score is flat: their share, or one half."""
+def train(samples: Sequence[tuple[int, Counter]], weight: Sequence[float] = (1.0, 1.0)) -> Model:
+    """SGD on (label, word counts). A row of each class stands for ``weight`` rows: their logarithms are added to the bias, which undoes
+    an uneven sampling of the classes. Without both labels the score is flat: their share, or one half."""
     labels = [s[0] for s in samples]
     if len(set(labels)) < 2:
         share = np.clip(np.mean(labels), 0.01, 0.99) if labels else 0.5
@@ -137,21 +138,22 @@ def train(samples: Sequence[tuple[int, Counter]]) -> Model:
             bias += rate * err
             # The gradient of a row is its share of the average; it is scaled up, as rows of long texts get tiny shares.
             table[used] += rate * np.outer(amount / amount.max(), back) * 0.1
-    return Model(table @ layer, bias)
+    return Model(table @ layer, bias + np.log(weight))
 
 
 def fit(labelled: DataFrame) -> Model:
     """Count words on the executors, train on the driver: the sample is bounded by SAMPLE rows of each class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for doc, label, text, weight in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 words = counted(text.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([label], pa.int32()), pa.array([list(words)], pa.list_(pa.string())), pa.array([list(words.values())], pa.list_(pa.int32()))],
-                                                 names=["doc_id", "label", "words", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([label], pa.int32()), pa.array([list(words)], pa.list_(pa.string())), pa.array([list(words.values())], pa.list_(pa.int32())), pa.array([weight.as_py()], pa.float64())],
+                                                 names=["doc_id", "label", "words", "counts", "weight"])
 
-    rows = labelled.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text").mapInArrow(run, "doc_id long, label int, words array<string>, counts array<int>")
+    rows = labelled.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text", "weight").mapInArrow(run, "doc_id long, label int, words array<string>, counts array<int>, weight double")
     got = rows.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    return train([(label, Counter(dict(zip(w, c)))) for label, w, c in zip(got.column("label").to_pylist(), got.column("words").to_pylist(), got.column("counts").to_pylist())])
+    weight = {label: w for label, w in zip(got.column("label").to_pylist(), got.column("weight").to_pylist())}
+    return train([(label, Counter(dict(zip(w, c)))) for label, w, c in zip(got.column("label").to_pylist(), got.column("words").to_pylist(), got.column("counts").to_pylist())], (weight.get(0, 1.0), weight.get(1, 1.0)))
 
 
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -165,8 +165,8 @@ def _lexicon(rows: DataFrame) -> dict[str, float]:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Fit on (doc_id, text, label). Without labels of both kinds the score is the share of toxic labels, or one half."""
-    rows = durable(labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")))
+    """Fit on (doc_id, text, label, weight). Without labels of both kinds the score is the share of toxic labels, or one half."""
+    rows = durable(labelled.select("doc_id", "text", F.col("label").cast("int").alias("label"), "weight"))
     lexicon = _lexicon(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,26 +174,28 @@ def fit(labelled: DataFrame) -> Model:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 x = features(part.column(2).to_pylist(), lexicon)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["fold", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["fold", "label", "weight", "x"])
 
-    got = rows.select(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int").alias("fold"), "label", "text").mapInArrow(run, "fold int, label int, x array<double>").toArrow()
+    got = rows.select(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int").alias("fold"), "label", "text", "weight").mapInArrow(run, "fold int, label int, weight double, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist()).reshape(-1, len(FEATURES))
     y, fold = got.column("label").to_numpy().astype(float), got.column("fold").to_numpy()
+    weight = got.column("weight").to_numpy()
+    weight = weight / weight.mean() if len(weight) else weight  # one on average, as the fits weigh them against constants
     order = np.lexsort([*x.T, y, fold])  # the same model whatever the order of tasks
-    x, y, fold = x[order], y[order], fold[order]
+    x, y, fold, weight = x[order], y[order], fold[order], weight[order]
     inner = fold != 0
-    trees = fit_trees(x[inner], y[inner])
-    return Model(lexicon, trees, fit_isotonic(trees.margin(x[~inner]), y[~inner]))
+    trees = fit_trees(x[inner], y[inner], weight[inner])
+    return Model(lexicon, trees, fit_isotonic(trees.margin(x[~inner]), y[~inner], weight=weight[~inner]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataFrame:
-    """(doc_id, text, label) of a bounded sample of labelled rows with checksum mod 3 other than 1; labels other than 0 and 1 are left out.
+    """(doc_id, text, label, weight: rows of its class that it stands for) of a bounded sample of labelled rows with checksum mod 3 other than 1; labels other than 0 and 1 are left out.
 
     The sample of labels is bounded by two classes times ``bound`` (a document labelled twice with different labels counts for neither), so it may be broadcast.
     """
     known = labels.where(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("_top")).where("label = _top AND doc_id IS NOT NULL")
     known = known.where(remainder(F.col("doc_id"), 3) != 1)
-    chosen = durable(sampled(known, F.col("label"), F.col("doc_id"), bound).select("doc_id", "label"))
+    chosen = durable(sampled(known, F.col("label"), F.col("doc_id"), bound).select("doc_id", "label", F.col("_weight").alias("weight")))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
