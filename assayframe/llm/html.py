@@ -27,9 +27,11 @@ from assayframe.llm.common import chosen
 SAMPLE, LAYOUTS, SEED = 200, 4, 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-OPAQUE = frozenset("script style noscript template textarea title svg iframe object select option math canvas audio video head button".split())
+OPAQUE = frozenset("script style noscript template textarea title svg iframe object select option canvas audio video head button annotation annotation-xml".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img font".split())
+#: Parts of a formula; its signs and numbers belong to the text before it.
+MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img font".split()) | MATH
 #: A start tag here ends an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of its own group, up to the group's container.
@@ -149,7 +151,15 @@ class Page:
                 return
 
     def _text(self, parent: int, raw: str, block: int, plain: bool = False) -> None:
-        self._add(parent, TEXT, 0, raw if plain or "&" not in raw else entities.unescape(raw), block)
+        text = raw if plain or "&" not in raw else entities.unescape(raw)
+        if self.names[parent] in MATH:
+            k = len(self.names) - 1
+            while self.block[k] == block and self.names[k] in MATH:
+                k -= 1
+            if self.block[k] == block and self.names[k] == TEXT:
+                self.text[k] += text
+                return
+        self._add(parent, TEXT, 0, text, block)
 
     def _kinds(self, attributes: str) -> int:
         words, bits = [], 0

@@ -102,3 +102,11 @@ def test_query_and_odd_rows(spark, model):
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert {r.text for r in got if r.page_id in (2, 3)} == {""} and [r.n_chars for r in got if r.page_id == 4] == [50_000 * 16 - 1]
     assert H.extract_pages(df.limit(0), H.fit(df.limit(0))).collect() == []
+
+
+def test_formulas_are_text(sources, model):
+    source = next(s for s in sources[120:] if re.search(r"<article>.*?<p>[^<]{80,}</p>", s, re.S))
+    start = source.index("<p>", source.index("<article>")) + 3
+    formula = "<math display='inline'><semantics><mrow><mi>zeta</mi><mo>=</mo><msup><mi>rho</mi><mn>2</mn></msup></mrow><annotation encoding='application/x-tex'>hiddenform</annotation></semantics></math>"
+    got = H.extract([source[:start] + f"before {formula} after " + source[start:]], model)[0]
+    assert "before zeta=rho2 after " in got and "hiddenform" not in got
