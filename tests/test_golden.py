@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import golden_tables
+from golden import golden_tables
 from pyspark.sql import functions as F
 
 from assayframe.operators.distance import bray_curtis
