@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from assayframe.session import durable
 
@@ -31,21 +33,26 @@ def chosen(share: float, *key: Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(FINE)) < int(share * FINE)
 
 
-def sampled(rows: DataFrame, classes: Column, key: Column, bound: int) -> DataFrame:
+def sampled(rows: DataFrame, classes: Column, key: Sequence[Column], bound: int, most: int = 256) -> DataFrame:
     """About ``bound`` rows of each class (all of a smaller class), chosen by a hash of the key, with their ``_class`` and its
-    ``_weight``: how many rows of the class each stands for. A class of which the hash takes no row is an error.
+    ``_weight``: how many rows of the class each stands for. Rows of one class and key count once in the sample.
 
-    The class sizes are counted over all rows; the classes are few (labels or languages). Rows without a class go.
+    Key and class should tell rows apart (an id and a text). Where the hash takes no row of a class, as when its rows have few different keys, the first
+    in hash order are taken. Class sizes are counted over all rows; of more than ``most`` classes the largest are kept. Rows without a class go.
     """
-    known = rows.withColumn("_class", classes).where("_class IS NOT NULL")
-    sizes = {r["_class"]: r["count"] for r in known.groupBy("_class").count().collect()}
-    take = F.lit(False)
-    for value, n in sizes.items():
-        take = take | ((F.col("_class") == F.lit(value)) & chosen(min(1.0, bound / n), key, F.lit("sample")))
-    taken = {r["_class"]: r["count"] for r in known.where(take).groupBy("_class").count().collect()} if any(n > bound for n in sizes.values()) else sizes
-    if lost := sorted(str(v) for v in sizes if v not in taken):
-        raise ValueError(f"no row was sampled of {', '.join(lost)}: do the keys differ?")
-    weight = F.lit(1.0)
-    for value, n in sizes.items():
-        weight = F.when(F.col("_class") == F.lit(value), F.lit(n / taken[value])).otherwise(weight)
-    return known.where(take).withColumn("_weight", weight)
+    spark = rows.sparkSession
+    known = rows.withColumns({"_class": classes, "_key": F.xxhash64(*key)}).where("_class IS NOT NULL")
+    sizes = {r["_class"]: r["count"] for r in known.groupBy("_class").count().orderBy(F.desc("count"), "_class").limit(most).collect()}
+    if not sizes:
+        return known.drop("_key").withColumn("_weight", F.lit(1.0))
+    kind = known.schema["_class"].dataType
+    shares = spark.createDataFrame([(c, int(min(1.0, bound / n) * FINE)) for c, n in sizes.items()], T.StructType().add("_class", kind).add("_share", "long"))
+    by_hash = F.pmod(F.xxhash64("_key", F.lit("sample")), F.lit(FINE))
+    taken = known.join(F.broadcast(shares), "_class").where(by_hash < F.col("_share")).drop("_share").dropDuplicates(["_class", "_key"])
+    found = {r["_class"]: r["count"] for r in taken.groupBy("_class").count().collect()}
+    for value in sorted((c for c in sizes if c not in found), key=str):
+        first = known.where(F.col("_class") == F.lit(value)).dropDuplicates(["_key"]).orderBy(by_hash, "_key").limit(bound)
+        found[value] = first.count()
+        taken = taken.unionByName(first)
+    weights = spark.createDataFrame([(c, n / found[c]) for c, n in sizes.items()], T.StructType().add("_class", kind).add("_weight", "double"))
+    return taken.join(F.broadcast(weights), "_class").drop("_key")

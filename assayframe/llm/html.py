@@ -24,7 +24,7 @@ from assayframe.llm.boosting import Trees, fit_trees
 from assayframe.llm.common import chosen
 
 #: Pages the model is fitted on, and layouts drawn from each.
-SAMPLE, LAYOUTS, SEED = 200, 4, 3
+SAMPLE, LAYOUTS, SEED = 200, 5, 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 OPAQUE = frozenset("script style noscript template textarea title svg iframe object select option canvas audio video head button annotation annotation-xml".split())
@@ -32,13 +32,15 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 #: Parts of a formula; its signs and numbers belong to the text before it.
 MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img font".split()) | MATH
+#: Elements that stand within a line of text or show nothing at all: they end no block.
+PHRASING = INLINE | frozenset("script style noscript template link meta base svg iframe object canvas audio video button input select textarea map area param source track embed output progress meter datalist".split())
 #: A start tag here ends an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of its own group, up to the group's container.
 GROUPS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-TEXT = "#text"
+TEXT, RUN = "#text", "#run"
 
 #: Kinds of attribute words; a kind is present if one of its patterns begins a word of class, id, role, itemprop or an aria label.
 KINDS = {
@@ -58,16 +60,24 @@ _KIND = {k: re.compile("(?:^|[^a-z])(?:" + "|".join(map(re.escape, sorted(v.spli
 _KIND["ad"] = re.compile(r"(?:^|[^a-z])(?:ads?(?![a-z])|ad[-_]|advert|sponsor|promo|adsbygoogle|dfp|outbrain|taboola|affiliate)", re.I)
 NAMES = tuple(KINDS)
 TAGS = {t: i for i, g in enumerate(("p", "h1 h2 h3 h4 h5 h6", "li dt dd", "a", "div", "section", "article", "main", "nav menu", "header", "footer", "aside", "form fieldset input button label",
-                                    "ul ol dl", "table tbody thead tr td th", "blockquote pre figure figcaption", "b i em strong span small u mark code", TEXT, "html body")) for t in g.split()}
+                                    "ul ol dl", "table tbody thead tr td th", "blockquote pre figure figcaption", "b i em strong span small u mark code", TEXT, "html body", RUN)) for t in g.split()}
 N_TAGS = max(TAGS.values()) + 2
 #: Tag groups passed on to everything below: article, main, nav, header, footer, aside, form, list, table.
 PASSED = (6, 7, 8, 9, 10, 11, 12, 13, 14)
 
 
+#: Kinds for which an element within a line is decided on by itself.
+OWN = sum(1 << i for i, k in enumerate(NAMES) if k != "content")
+
+
 class Page:
-    """Nodes of a page in document order; a node's parent comes before it."""
+    """Nodes of a page in document order; a node's parent comes before it.
+
+    What stands within a block (pieces of text, also blank ones, links, emphasis) follows the block's decision. Text beside blocks, in an element that
+    holds both, is put into a block of its own (``RUN``) per stretch between two blocks, as a browser does.
+    """
 
-    __slots__ = ("parent", "tag", "kinds", "text", "block", "names")
+    __slots__ = ("parent", "tag", "kinds", "text", "block", "names", "follows")
 
     def __init__(self, source: str | None):
         self.parent: list[int] = [-1]
@@ -77,6 +87,34 @@ class Page:
         self.block: list[int] = [0]
         self.names: list[str] = ["#root"]
         self._parse(source or "")
+        self._settle()
+
+    def _settle(self) -> None:
+        """Put loose text into runs and find the nodes that follow their parent."""
+        old = list(zip(self.parent, self.names, self.kinds, self.text, self.block))
+        blocks = [name not in PHRASING and name != TEXT for name in self.names]
+        mixed = [False] * len(old)  # has a block below
+        for i in range(len(old) - 1, 0, -1):
+            if blocks[i] or mixed[i]:
+                mixed[self.parent[i]] = True
+        for column in (self.parent, self.names, self.kinds, self.text, self.block, self.tag):
+            column.clear()
+        self.follows: list[bool] = []
+        place: list[int] = []
+        runs: dict[tuple[int, int], int] = {}
+        for i, (parent, name, kinds, text, block) in enumerate(old):
+            own = blocks[i] or mixed[i] or bool(kinds & OWN)
+            at = place[parent] if parent >= 0 else -1
+            if not own and parent >= 0 and mixed[parent]:
+                if (parent, block) not in runs:
+                    if name == TEXT and not text.strip():
+                        place.append(at)
+                        continue
+                    runs[parent, block] = self._add(at, RUN, 0, "", block)
+                    self.follows.append(False)
+                at = runs[parent, block]
+            place.append(self._add(at, name, kinds, text, block))
+            self.follows.append(not own)
 
     def _add(self, parent: int, name: str, kinds: int, text: str, block: int) -> int:
         self.parent.append(parent)
@@ -102,7 +140,7 @@ class Page:
                     self._text(stack[-1], s[m.start() + 9:at].removesuffix("]]>"), block, plain=True)
                 continue
             name = name.lower()
-            inline = name in INLINE
+            inline = name in PHRASING
             if name == "br":
                 if not opaque:
                     self._text(stack[-1], " ", block)
@@ -115,7 +153,7 @@ class Page:
                         opaque -= sum(names[i] in OPAQUE for i in stack[k:])
                         del stack[k:]
                         break
-                    if inline and names[stack[k]] not in INLINE:
+                    if inline and names[stack[k]] not in PHRASING:
                         break  # a stray end tag of an inline element closes no block
                 continue
             if name in CLOSES_P:
@@ -238,18 +276,19 @@ def features(pages: Sequence[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return x, parent, depth, page
 
 
-def decide(p: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """Nodes to keep: the choice with the greatest sum of log-chances in which no kept node lies below a dropped one."""
+def decide(p: np.ndarray, parent: np.ndarray, depth: np.ndarray, follows: np.ndarray | None = None) -> np.ndarray:
+    """Nodes to keep: the choice with the greatest sum of log-chances in which no kept node lies below a dropped one and nodes that follow go with their parent."""
+    follows = np.zeros(len(p), dtype=bool) if follows is None else follows
     p = np.clip(p, 1e-6, 1 - 1e-6)
     keep, drop = np.log(p), np.log(1 - p)
     levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
     for level in reversed(levels[1:]):
         np.add.at(drop, parent[level], drop[level])
-        np.add.at(keep, parent[level], np.maximum(keep[level], drop[level]))
+        np.add.at(keep, parent[level], np.where(follows[level], keep[level], np.maximum(keep[level], drop[level])))
     kept = np.zeros(len(p), dtype=bool)
     kept[levels[0]] = keep[levels[0]] > drop[levels[0]]
     for level in levels[1:]:
-        kept[level] = kept[parent[level]] & (keep[level] > drop[level])
+        kept[level] = kept[parent[level]] & (follows[level] | (keep[level] > drop[level]))
     return kept
 
 
@@ -267,7 +306,7 @@ def extract(sources: Sequence[str | None], model: Trees) -> list[str]:
         return []
     pages = [Page(s) for s in sources]
     x, parent, depth, page = features(pages)
-    kept = decide(1 / (1 + np.exp(-model.margin(x))), parent, depth)
+    kept = decide(1 / (1 + np.exp(-model.margin(x))), parent, depth, np.concatenate([p.follows for p in pages]))
     ends = np.cumsum(np.bincount(page, minlength=len(pages)))
     return [join_blocks(p, kept[e - len(p.parent):e]) for p, e in zip(pages, ends)]
 
@@ -345,11 +384,16 @@ def layout(paragraphs: Sequence[str], stock: Sequence[str], rng: random.Random)
     def block(text: str) -> str:
         t = entities.escape(marked(text), quote=False)
         cut = t.split(" ")
-        if len(cut) > 6 and rng.random() < 0.25:
-            a = rng.randrange(1, len(cut) - 3)
-            inline = tag("b", "i", "em", "strong", "span", "a href='/x'", "code")
-            t = " ".join([*cut[:a], f"<{inline}>{cut[a]} {cut[a + 1]}</{inline.split()[0]}>", *cut[a + 2:]])
+        for _ in range(rng.choice([0, 0, 0, 1, 1, 2, 4])):
+            if len(cut) > 6:
+                a = rng.randrange(0, len(cut) - 2)
+                inline = tag("b", "i", "em", "strong", "span", "a href='/x'", "a href='/y'", "code")
+                cut[a:a + 2] = [f"<{inline}>{cut[a]} {cut[a + 1]}</{inline.split()[0]}>{rng.choice(['', '', '<br>', '<br/>'])}"]
+        t = " ".join(cut)
         kind = rng.random()
+        if kind < 0.05:
+            half, a = max(1, len(cut) // 2), rng.choice([1, 1, 2, 4])
+            return f"<dl><dt>{' '.join(cut[:a])}</dt><dd>{' '.join(cut[a:half])}</dd><dt>{' '.join(cut[half:half + a])}</dt><dd>{' '.join(cut[half + a:])}</dd></dl>"
         if kind < 0.72:
             return f"<p{rng.choice(['', '', '', ' class=lead'])}>{t}{rng.choice(['</p>', '</p>', '</p>', ''])}"
         if kind < 0.78:
@@ -365,20 +409,30 @@ def layout(paragraphs: Sequence[str], stock: Sequence[str], rng: random.Random)
 
     main = []
     if rng.random() < 0.85:
-        title = entities.escape(marked(_words(rng, stock, 2, 10)))
+        title = entities.escape(marked(_words(rng, stock, 1, rng.choice([1, 3, 10]))))
         main.append(rng.choice([f"<h1>{title}</h1>", f"<h1 class=title>{title}</h1>", f"<h2>{title}</h2>", f"<header><h1>{title}</h1></header>"]))
     for text in paragraphs:
         main.append(block(text))
         if rng.random() < 0.12:
             main.append(rng.choice([ad, ad, side, social, notice, form, hidden])())
-    container = tag("article", "article", "article", "main", "div", "div", "section")
-    attr = _attr(rng, "content") if container in ("article", "main") else f' {rng.choice(["class", "id"])}="{rng.choice(KINDS["content"].split())}"'
-    tail = rng.choice([comments, social, side])() if rng.random() < 0.25 else ""
-    middle = f"<{container}{attr}>{''.join(main)}{tail}</{container}>"
-    for _ in range(rng.choice([0, 0, 1, 1, 2])):
+    kind, bare = rng.random(), False
+    if kind < 0.55:
+        container = tag("article", "article", "article", "main", "div", "div", "section")
+        attr = _attr(rng, "content") if container in ("article", "main") else f' {rng.choice(["class", "id"])}="{rng.choice(KINDS["content"].split())}"'
+        tail = rng.choice([comments, social, side])() if rng.random() < 0.25 else ""
+        middle = f"<{container}{attr}>{''.join(main)}{tail}</{container}>"
+    elif kind < 0.65:  # a layout table
+        parts = [rng.choice(["", menu(), side(), link() + "<br>" + link()]), "".join(main), rng.choice(["", side(), ad()])]
+        middle = f"<table{rng.choice(['', ' width=100%', ' border=0'])}><tr>" + "".join(f"<td{rng.choice(['', ' width=160', ' valign=top'])}>{part}</td>" for part in parts if part) + "</tr></table>"
+    elif kind < 0.8:
+        middle = f"<{(c := tag('div', 'div', 'main', 'center'))}>{''.join(main)}</{c}>"
+    else:  # no container at all
+        middle, bare = "".join(main), True
+    for _ in range(0 if bare else rng.choice([0, 0, 1, 1, 2])):
         middle = f"<{(c := tag('div', 'main', 'section'))}{rng.choice(['', ' class=container', ' class=wrapper', ' id=page', ' class=row', ' class=main-content'])}>{rng.choice(['', '', side(), menu(), ad()])}{middle}{rng.choice(['', '', side(), comments(), ad()])}</{c}>"
-    before = [f() for f in (head, menu, ad, notice, form, side, hidden) if rng.random() < 0.4]
-    after = [f() for f in (side, comments, ad, form, notice, foot, foot, hidden, social) if rng.random() < 0.4]
+    amid = 0.0 if rng.random() < 0.15 else 0.4  # some pages are nothing but their article
+    before = [f() for f in (head, menu, ad, notice, form, side, hidden) if rng.random() < amid]
+    after = [f() for f in (side, comments, ad, form, notice, foot, foot, hidden, social) if rng.random() < amid]
     rng.shuffle(before)
     return f"<!DOCTYPE html><html><head><title>{w(2, 8)}</title>{hidden()}</head><body>{''.join(before)}{middle}{''.join(after)}{rng.choice(['</body></html>', ''])}"
 
@@ -395,6 +449,9 @@ def _upwards(page: Page, label: np.ndarray) -> np.ndarray:
     for i in range(len(page.parent) - 1, 0, -1):
         if label[i]:
             label[page.parent[i]] = True
+    for i, follows in enumerate(page.follows):
+        if follows:
+            label[i] = label[page.parent[i]]
     return label
 
 
@@ -449,13 +506,12 @@ def extract_pages(pages: DataFrame, model: Trees) -> DataFrame:
 
 
 def fit(pages: DataFrame, bound: int = SAMPLE) -> Trees:
-    """Fit on about ``bound`` pages, chosen by a hash of their id."""
-    known = pages.where("html IS NOT NULL")
-    n = known.count()
-    rows = known.where(chosen(min(1.0, bound / max(1, n)), F.col("page_id"), F.lit("sample"))).select("page_id", "html").collect()
-    if n and not rows:
-        raise ValueError("no page was sampled: do the ids differ?")
-    return train([r["html"] for r in sorted(rows, key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["html"]))])
+    """Fit on at most ``bound`` different pages, the first in the order of a hash of the html. The trees are a model of page layouts: the bound is theirs, all pages are extracted."""
+    known = pages.where("html IS NOT NULL").select("html")
+    rows = known.where(chosen(min(1.0, 8 * bound / max(1, known.count())), F.col("html"), F.lit("sample"))).distinct()
+    first = lambda df: df.orderBy(F.xxhash64("html", F.lit("sample")), "html").limit(bound).collect()
+    taken = first(rows) or first(known.distinct())
+    return train([r["html"] for r in taken])
 
 
 def op1_html(spark: SparkSession, folder: str) -> DataFrame:

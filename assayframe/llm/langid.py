@@ -88,7 +88,7 @@ class Model:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", bound: int = SAMPLE) -> Model:
     """Fit on about ``bound`` rows of each language. Without labelled rows the model knows no language."""
-    rows = sampled(labelled.where(F.col(text_col).isNotNull()), F.col(lang_col), F.col(key_col), bound).select(F.col("_class").alias("lang"), F.col(text_col).alias("text"))
+    rows = sampled(labelled.where(F.col(text_col).isNotNull()), F.col(lang_col), [F.col(key_col), F.col(text_col)], bound).select(F.col("_class").alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -118,7 +118,8 @@ def _learnable(docs: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, model: Model, *keep: Column, text_col: str = "text") -> DataFrame:
     """``keep`` columns and ``lang_pred``, ``score`` for every row.
 
-    Null texts and texts without a letter are ``und`` with score 0; so is every text where no language was learned.
+    Null texts and texts without a letter are ``und`` with score 0; so is every text where no language was learned. Of languages with equal
+    posteriors the first by name is predicted. Null and repeated ids are rows like others.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

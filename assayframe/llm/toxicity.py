@@ -195,7 +195,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, bound: int) -
     """
     known = labels.where(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("_top")).where("label = _top AND doc_id IS NOT NULL")
     known = known.where(remainder(F.col("doc_id"), 3) != 1)
-    chosen = durable(sampled(known, F.col("label"), F.col("doc_id"), bound).select("doc_id", "label", F.col("_weight").alias("weight")))
+    chosen = durable(sampled(known, F.col("label"), [F.col("doc_id")], bound).select("doc_id", "label", F.col("_weight").alias("weight")))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 

@@ -4,7 +4,8 @@ import duckdb
 
 import corpus_pipeline
 from assayframe.llm import langid, mixing
-from tests_llm_brute import contaminated, ring_brute, slow_components, slow_fingerprint
+from test_jaccard import slow_kept
+from tests_llm_brute import contaminated, ring_brute
 
 D = "/root/testdata/sf0.001"
 
@@ -23,8 +24,8 @@ def test_stages_against_brute_force(spark, tmp_path):
             names, sure = model.scores([r.text for r in before])
             want = [r for r, n, s in zip(before, names, sure) if n != "und" and s >= 0.5]
         elif name == "near_dedup":
-            comp = slow_components({r.doc_id: slow_fingerprint(r.text) for r in before})
-            want = [r for r in before if comp[r.doc_id] == r.doc_id]
+            kept = set(slow_kept([(r.doc_id, r.text) for r in before]))
+            want = [r for r in before if r.doc_id in kept]
         elif name == "decontaminate":
             want = [r for r in before if not contaminated(r.text, bench)]
         elif name == "mix":
