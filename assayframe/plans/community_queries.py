@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayframe.operators.distance import bray_curtis
-from assayframe.operators.ordination import group_ellipse, nonmetric_scaling
+from assayframe.operators.ordination import best_scaling, group_ellipse, nonmetric_scaling, procrustes
 from assayframe.operators.permutation import anosim, anosim_r, exact_relabelings, random_relabelings
 from assayframe.operators.ranking import average_rank
 from assayframe.operators.reshape import renormalise, share_in_group, spread
@@ -94,12 +94,24 @@ def anosim_exact(spark: SparkSession, sf: str) -> DataFrame:
     return fixed_all(out, ["r", "p_value"])
 
 
+def _vector_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """(label, vec_id, pair, x, y): every vector as one point in each plane of two neighbouring components."""
+    planes = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1), lambda k: F.struct(
+        k.alias("pair"), F.get("embedding", 2 * k).cast("double").alias("x"), F.get("embedding", 2 * k + 1).cast("double").alias("y")))
+    return load(spark, sf, "embeddings").select("label", "vec_id", F.inline(planes))
+
+
 def ellipse(spark: SparkSession, sf: str) -> DataFrame:
-    points = load(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    out = group_ellipse(points, ["label"], "x", "y")
+    out = group_ellipse(_vector_maps(spark, sf), ["label", "pair"], "x", "y")
     return fixed_all(out, ["centre_x", "centre_y", "half_long", "half_short", "angle"])
 
 
+def procrustes_fit(spark: SparkSession, sf: str) -> DataFrame:
+    maps = _vector_maps(spark, sf)
+    out = procrustes(maps.filter("pair > 0"), "pair", maps.filter("pair = 0").drop("pair"), ["vec_id"], ["label"])
+    return fixed_all(out, ["turn", "scale", "rmse"])
+
+
 def avg_rank(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.floor(F.col("o_totalprice") / 100).cast("double").alias("v"))
     return average_rank(orders, "v", ["o_orderpriority"], salt_on=["o_orderkey"]).select("o_orderkey", "avg_rank")
@@ -117,6 +129,20 @@ def nmds_stress(spark: SparkSession, sf: str) -> DataFrame:
     return fixed_all(_map(spark, sf)[1], ["stress"])
 
 
+def _best(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return best_scaling(_nation_pairs(spark, sf))
+
+
+def nmds_map(spark: SparkSession, sf: str) -> DataFrame:
+    """The settled map of the smallest stress, with the ellipse of each region's samples on it."""
+    points = durable(_best(spark, sf)[0].join(_nations(spark, sf), "sample"))
+    return fixed_all(points.join(group_ellipse(points, ["region"], "axis1", "axis2"), "region"), ["axis1", "axis2", "centre_x", "centre_y", "half_long", "half_short", "angle"])
+
+
+def nmds_starts(spark: SparkSession, sf: str) -> DataFrame:
+    return fixed_all(_best(spark, sf)[1], ["stress", "rmse"])
+
+
 QUERIES = {
     "richness": richness_by_sample,
     "share_in_sample": share_in_sample,
@@ -135,6 +161,9 @@ QUERIES = {
     "avg_rank": avg_rank,
     "nmds_points": nmds_points,
     "nmds_stress": nmds_stress,
+    "nmds_map": nmds_map,
+    "nmds_starts": nmds_starts,
+    "procrustes": procrustes_fit,
 }
 
 _SUPP = """
@@ -190,6 +219,8 @@ pairs AS (SELECT {'a.' + s if s else ''}a.sample AS sample_a, b.sample AS sample
   FROM grid a JOIN grid b ON a.feature = b.feature AND a.sample < b.sample {on} GROUP BY ALL)"""
 
 
+_PLANES = """SELECT label, vec_id, CAST(k AS INTEGER) AS pair, CAST(embedding[2 * k + 1] AS DOUBLE) AS x, CAST(embedding[2 * k + 2] AS DOUBLE) AS y
+  FROM (SELECT label, vec_id, embedding, unnest(range(len(embedding) // 2)) AS k FROM embeddings)"""
 _RANKED = """
 ranked AS (SELECT sample_a, sample_b, rank() OVER (ORDER BY round(dist, 12)) + (count(*) OVER (PARTITION BY round(dist, 12)) - 1) / 2.0 AS rk FROM pairs)"""
 _NATION = "nat AS (SELECT n_nationkey AS sample, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -244,11 +275,18 @@ s AS (SELECT region, perm_id, n, {_R} AS r FROM t), o AS (SELECT region, r AS se
 SELECT region, {fx('max(seen)')} AS r, {fx('(1.0 + count(*) FILTER (perm_id > 0 AND r >= seen)) / (1 + count(*) FILTER (perm_id > 0))')} AS p_value,
   count(*) FILTER (perm_id > 0) AS n_perm, CAST(max(n) AS BIGINT) AS n_pairs FROM s JOIN o USING (region) GROUP BY region""",
     "ellipse": f"""
-WITH p AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
-m AS (SELECT label, count(*) AS n, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c FROM p GROUP BY 1),
+WITH p AS ({_PLANES}),
+m AS (SELECT label, pair, count(*) AS n, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c FROM p GROUP BY 1, 2),
 e AS (SELECT *, (a + b) / 2 AS mid, sqrt((a - b) * (a - b) / 4 + c * c) AS gap, sqrt(-2 * ln(1 - 0.95)) AS rad FROM m)
-SELECT label, n, {fx('cx')} AS centre_x, {fx('cy')} AS centre_y, {fx('rad * sqrt(mid + gap)')} AS half_long,
+SELECT label, pair, n, {fx('cx')} AS centre_x, {fx('cy')} AS centre_y, {fx('rad * sqrt(mid + gap)')} AS half_long,
   {fx('rad * sqrt(greatest(mid - gap, 0))')} AS half_short, {fx('atan2(2 * c, a - b) / 2')} AS angle FROM e""",
+    "procrustes": f"""
+WITH p AS ({_PLANES}),
+s AS (SELECT label, m.pair, count(*) AS n, covar_pop(m.x, t.x) AS ux, covar_pop(m.x, t.y) AS uy, covar_pop(m.y, t.x) AS vx, covar_pop(m.y, t.y) AS vy,
+  var_pop(m.x) + var_pop(m.y) AS uu, var_pop(t.x) + var_pop(t.y) AS xx FROM p m JOIN p t USING (label, vec_id) WHERE m.pair > 0 AND t.pair = 0 GROUP BY 1, 2),
+f AS (SELECT *, sqrt((ux + vy) ** 2 + (uy - vx) ** 2) AS turned, sqrt((ux - vy) ** 2 + (uy + vx) ** 2) AS flipped FROM s)
+SELECT label, pair, n, {fx('CASE WHEN flipped > turned THEN atan2(uy + vx, ux - vy) ELSE atan2(uy - vx, ux + vy) END')} AS turn, flipped > turned AS mirrored,
+  {fx('greatest(turned, flipped) / uu')} AS scale, {fx('sqrt(greatest(1 - greatest(turned, flipped) ** 2 / (uu * xx), 0) / n)')} AS rmse FROM f""",
     "nmds_points": f"""{_scaling_sql()},
 mid AS (SELECT avg(x) AS cx, avg(y) AS cy, coalesce(atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2, 0) AS turn FROM map{SCALING_STEPS})
 SELECT sample, {fx('(x - cx) * cos(turn) + (y - cy) * sin(turn)')} AS axis1, {fx('(y - cy) * cos(turn) - (x - cx) * sin(turn)')} AS axis2 FROM map{SCALING_STEPS}, mid""",
