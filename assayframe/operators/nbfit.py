@@ -20,6 +20,10 @@ OUTLIER_SDS = 2.0
 COOK_MIN_DISP = 0.04
 COOK_PROB = 0.99
 MIN_REPLICATES = 3
+MANY_REPLICATES = 7        # arms of this size get outliers replaced
+REPLACE_TRIM = 0.2
+BOUND = 30.0 * math.log(2.0)   # largest coefficient of a refit
+GRID = 20
 # Trimmed squared errors per arm: (largest arm size, trimmed share of each end, scale).
 TRIM = ((3, 1 / 3, 2.04), (23, 1 / 4, 1.86), (math.inf, 1 / 8, 1.51))
 
@@ -94,10 +98,23 @@ def _profile(x, y, mu, arm, centre=None, var=None, slope_only=False):
     return value, slope
 
 
-def climb(start: np.ndarray, y, mu, arm, top: float, centre=None, var=None) -> np.ndarray:
+def grid_peak(y, mu, arm, top: float, centre=None, var=None, points: int = GRID) -> np.ndarray:
+    """Highest point of the profile on a coarse grid over the allowed range, then on a fine one around it (log scale)."""
+    low, high = math.log(MIN_DISP), math.log(top)
+    gap = (high - low) / (points - 1)
+    tries = np.broadcast_to(np.linspace(low, high, points)[:, None], (points, len(y)))
+    for _ in range(2):
+        values = np.stack([_profile(x.copy(), y, mu, arm, centre, var)[0] for x in tries])
+        best = tries[values.argmax(axis=0), np.arange(len(y))]
+        tries = np.clip(best + np.linspace(-gap, gap, points)[:, None], low, high)
+    return best
+
+
+def climb(start: np.ndarray, y, mu, arm, top: float, centre=None, var=None, max_iter: int = 100) -> np.ndarray:
     """Local maximum of the profile uphill from ``start`` (log scale), by damped Newton steps.
 
-    Without a prior, a start from which next to nothing is gained is returned as it is.
+    A climb that has not settled after ``max_iter`` steps is replaced by the peak of a grid. Without a prior, a start from which next to
+    nothing is gained is returned as it is.
     """
     low, high = math.log(MIN_DISP), math.log(top)
     x = np.clip(start, low, high)
@@ -105,7 +122,7 @@ def climb(start: np.ndarray, y, mu, arm, top: float, centre=None, var=None) -> n
     first = value.copy()
     live = np.ones(len(x), dtype=bool)
     eps = 1e-4
-    for _ in range(100):
+    for _ in range(max_iter):
         at = np.flatnonzero(live)
         if not len(at):
             break
@@ -130,6 +147,10 @@ def climb(start: np.ndarray, y, mu, arm, top: float, centre=None, var=None) -> n
                 break
             step = np.where(moved, 0.0, step / 2)
         live[at[~moved | (gain < 1e-10)]] = False
+    if live.any():
+        c = None if centre is None else centre[live]
+        x[live] = grid_peak(y[live], mu[live], arm, top, c, var)
+        value[live], _ = _profile(x[live], y[live], mu[live], arm, c, var)
     if centre is not None:
         return x
     gained = value > first + np.abs(first) * 1e-6
@@ -150,9 +171,8 @@ def gene_wise(y: np.ndarray, sf: np.ndarray, arm: np.ndarray) -> tuple[np.ndarra
     return norm.mean(axis=1), np.clip(disp, MIN_DISP, top)
 
 
-def final_dispersion(y, sf, arm, gene, mean, a0, a1, prior_var, resid_var) -> np.ndarray:
-    """Dispersion drawn towards the trend; a feature far above the trend keeps its own."""
-    trend = a0 + a1 / mean
+def final_dispersion(y, sf, arm, gene, trend, prior_var, resid_var) -> np.ndarray:
+    """Dispersion drawn towards the trend's value; a feature far above the trend keeps its own."""
     fitted = arm_means(y / sf, arm)
     mu = np.maximum(fitted * sf, MIN_MU)
     top = max(MAX_DISP, y.shape[1])
@@ -162,11 +182,51 @@ def final_dispersion(y, sf, arm, gene, mean, a0, a1, prior_var, resid_var) -> np
     return np.where(outlier, gene, drawn)
 
 
-def wald_fit(y, sf, arm, disp, max_iter: int = 100):
-    """Two-coefficient negative-binomial fit per feature.
+def refit(y, sf, on, a, b0, b1, ridge: float, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounded maximum of the penalised likelihood by damped Newton steps, for features that weighted least squares leave unsettled.
+
+    The likelihood is concave in both coefficients. Returns them and whether the score is zero (but for coefficients at a bound).
+    """
+    r = 1.0 / a
+
+    def value(u, v):
+        mu = sf * np.exp(u[:, None] + v[:, None] * on)
+        return (y * np.log(np.maximum(a * mu, 1e-300)) - (y + r) * np.log1p(a * mu)).sum(axis=1) - (RIDGE * u * u + ridge * v * v) / 2
+
+    u, v = (np.clip(b, -BOUND, BOUND) for b in (b0, b1))
+    now, done = value(u, v), np.zeros(len(y), dtype=bool)
+    for _ in range(rounds):
+        mu = sf * np.exp(u[:, None] + v[:, None] * on)
+        pull = (y - mu) / (1 + a * mu)
+        bend = mu * (1 + a * y) / (1 + a * mu) ** 2
+        g0, g1 = pull.sum(axis=1) - RIDGE * u, (pull * on).sum(axis=1) - ridge * v
+        h0, h1 = bend.sum(axis=1) + RIDGE, (bend * on).sum(axis=1)
+        h2 = h1 + ridge
+        at_bound = lambda b, g: (np.abs(b) >= BOUND) & (np.sign(g) == np.sign(b))
+        done = (np.abs(np.where(at_bound(u, g0), 0, g0)) < 1e-7) & (np.abs(np.where(at_bound(v, g1), 0, g1)) < 1e-7)
+        if done.all():
+            break
+        det = h0 * h2 - h1 * h1
+        d0, d1 = (h2 * g0 - h1 * g1) / det, (h0 * g1 - h1 * g0) / det
+        length = np.ones(len(y))
+        moved = done.copy()
+        for _ in range(50):
+            tu, tv = np.clip(u + length * d0, -BOUND, BOUND), np.clip(v + length * d1, -BOUND, BOUND)
+            new = value(tu, tv)
+            better = ~moved & (new >= now)
+            u, v, now = np.where(better, tu, u), np.where(better, tv, v), np.where(better, new, now)
+            moved |= better
+            if moved.all():
+                break
+            length = np.where(moved, length, length / 2)
+    return u, v, done
+
+
+def wald_fit(y, sf, arm, disp, max_iter: int = 100, ridge: float = RIDGE):
+    """Two-coefficient negative-binomial fit per feature; ``ridge`` is the inverse of the second coefficient's prior variance.
 
-    Returns the coefficients and the standard error of the second (natural log scale), whether
-    the fit settled, the leverage-based influence inputs ``mu`` and ``hat``.
+    Features that weighted least squares leave unsettled are fitted again by ``refit``. Returns the coefficients and the standard error of the
+    second (natural log scale), whether the fit settled, the leverage-based influence inputs ``mu`` and ``hat``.
     """
     on = arm.astype(float)
     base = np.log(y / sf + START_PSEUDO)
@@ -182,7 +242,7 @@ def wald_fit(y, sf, arm, disp, max_iter: int = 100):
         w = mu / (1 + a * mu)
         z = np.log(mu / sf) + (y - mu) / mu
         s0, s1 = w.sum(axis=1) + RIDGE, (w * on).sum(axis=1)
-        d = s1 + RIDGE
+        d = s1 + ridge
         t0, t1 = (w * z).sum(axis=1), (w * z * on).sum(axis=1)
         det = s0 * d - s1 * s1
         n0, n1 = (d * t0 - s1 * t1) / det, (s0 * t1 - s1 * t0) / det
@@ -194,10 +254,13 @@ def wald_fit(y, sf, arm, disp, max_iter: int = 100):
         last = dev
         if settled.all():
             break
+    if (left := ~settled).any():
+        b0[left], b1[left], settled[left] = refit(y[left], sf, on, a[left], base[left][:, arm == 0].mean(axis=1), base[left][:, arm == 1].mean(axis=1) - base[left][:, arm == 0].mean(axis=1), ridge)
+        mu[left] = np.maximum(sf * np.exp(b0[left, None] + b1[left, None] * on), MIN_MU)
     w = mu / (1 + a * mu)
     s0, s1 = w.sum(axis=1), (w * on).sum(axis=1)
-    det = (s0 + RIDGE) * (s1 + RIDGE) - s1 * s1
-    i00, i01, i11 = (s1 + RIDGE) / det, -s1 / det, (s0 + RIDGE) / det
+    det = (s0 + RIDGE) * (s1 + ridge) - s1 * s1
+    i00, i01, i11 = (s1 + ridge) / det, -s1 / det, (s0 + RIDGE) / det
     # Row of the inverse for the second coefficient, around the information matrix.
     se = np.sqrt(i01 * (i01 * s0 + i11 * s1) + i11 * (i01 * s1 + i11 * s1))
     hat = w * np.where(arm == 1, (i00 + 2 * i01 + i11)[:, None], i00[:, None])
@@ -210,15 +273,12 @@ def _trimmed_mean(v: np.ndarray, share: float) -> np.ndarray:
     return np.sort(v, axis=1)[:, cut:n - cut].mean(axis=1)
 
 
-def cook_flags(y, sf, arm, mu, hat, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Largest Cook's distance over samples in arms with enough replicates, and the outlier flag.
-
-    A feature is not flagged when three or more samples have a larger count than the suspect one.
-    """
+def cook_distances(y, sf, arm, mu, hat) -> np.ndarray:
+    """Cook's distance of each count; minus infinity in arms without enough replicates."""
     sizes = {a: int((arm == a).sum()) for a in (0, 1)}
     usable = np.array([sizes[int(a)] >= MIN_REPLICATES for a in arm])
     if not usable.any() or len(arm) <= 2:
-        return np.full(len(y), np.nan), np.zeros(len(y), dtype=bool)
+        return np.full(y.shape, -np.inf)
     norm = y / sf
     variance = np.zeros(len(y))
     for a, size in sizes.items():
@@ -230,12 +290,58 @@ def cook_flags(y, sf, arm, mu, hat, limit: float) -> tuple[np.ndarray, np.ndarra
     mean = norm.mean(axis=1)
     robust = np.maximum((variance - (1 / sf).mean() * mean) / mean**2, COOK_MIN_DISP)
     spread = mu + robust[:, None] * mu * mu
-    cook = (y - mu) ** 2 / spread * hat / (1 - hat) ** 2 / 2
-    cook = np.where(usable, cook, -np.inf)
+    return np.where(usable, (y - mu) ** 2 / spread * hat / (1 - hat) ** 2 / 2, -np.inf)
+
+
+def cook_flags(y, sf, arm, mu, hat, limit: float, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Largest Cook's distance over samples in arms with enough replicates (but those to ``skip``), and the outlier flag.
+
+    A feature is not flagged when three or more samples have a larger count than the suspect one.
+    """
+    cook = cook_distances(y, sf, arm, mu, hat)
+    if skip is not None:
+        cook[:, skip] = -np.inf
     worst = cook.argmax(axis=1)
     top = cook[np.arange(len(y)), worst]
     suspect = y[np.arange(len(y)), worst]
-    return top, (top > limit) & ((y > suspect[:, None]).sum(axis=1) < 3)
+    known = np.isfinite(top)
+    return np.where(known, top, np.nan), known & (top > limit) & ((y > suspect[:, None]).sum(axis=1) < 3)
+
+
+def many_replicates(arm: np.ndarray) -> np.ndarray:
+    """Samples whose arm is large enough for outliers to be replaced."""
+    return np.isin(arm, [a for a in (0, 1) if (arm == a).sum() >= MANY_REPLICATES])
+
+
+def without_outliers(y, sf, arm, cook: np.ndarray, limit: float) -> np.ndarray:
+    """Counts in large arms whose distance exceeds the limit, replaced by the feature's trimmed mean at the sample's depth."""
+    norm = y / sf
+    middle = np.floor(_trimmed_mean(norm, REPLACE_TRIM)[:, None] * sf)
+    return np.where((cook > limit) & many_replicates(arm), middle, y)
+
+
+def local_curve(x: np.ndarray, moments: np.ndarray, pulls: np.ndarray, counts: np.ndarray, knots: np.ndarray, share: float = 0.7) -> np.ndarray:
+    """Locally quadratic regression at ``knots`` from binned sums, weighted by a tricube of the distance.
+
+    A bin stands at ``x`` with ``counts`` points; ``moments[:, j]`` is the sum of w (x_i - x)^j for j up to 4, ``pulls[:, j]`` of w y_i (x_i - x)^j for j up to 2.
+    The window of a knot reaches the nearest ``share`` of all points.
+    """
+    out = np.empty(len(knots))
+    for k, t in enumerate(knots):
+        gap = np.abs(x - t)
+        near = np.argsort(gap, kind="stable")
+        reach = gap[near[min(np.searchsorted(np.cumsum(counts[near]), share * counts.sum()), len(x) - 1)]]
+        kernel = np.clip(1 - (gap / max(reach * 1.0001, 1e-12)) ** 3, 0, None) ** 3
+        shift = x - t  # powers about the knot from powers about the bin
+        m = [sum(math.comb(j, i) * shift ** (j - i) * moments[:, i] for i in range(j + 1)) @ kernel for j in range(5)]
+        p = [sum(math.comb(j, i) * shift ** (j - i) * pulls[:, i] for i in range(j + 1)) @ kernel for j in range(3)]
+        for degree in (2, 1, 0):  # fewer terms where the points do not tell them apart
+            a = np.array([[m[i + j] for j in range(degree + 1)] for i in range(degree + 1)])
+            unit = np.sqrt(np.maximum(np.diag(a), 1e-300))
+            if degree == 0 or np.linalg.cond(a / np.outer(unit, unit)) < 1e10:
+                out[k] = np.linalg.solve(a / np.outer(unit, unit), np.array(p[:degree + 1]) / unit)[0] / unit[0]
+                break
+    return out
 
 
 def smooth(x: np.ndarray, y: np.ndarray, share: float = 0.2, rounds: int = 3) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import statistics
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,12 +14,14 @@ from assayframe.operators.joins import full_outer
 from assayframe.operators.ranking import bh_adjust, exact_quantiles
 from assayframe.operators.reshape import drop_all_zero
 from assayframe.plans.tables import (
-    ARMS_SQL, abund_by_supplier, arm_counts, fixed, fixed_all, fixed_sql as fx, load,
+    ARMS_SQL, abund_by_supplier, arm_counts, fixed, fixed_all, fixed_sql as fx, load, supplier_arms,
 )
 from assayframe.session import durable
 from assayframe.sources.writers import result_summary
 
 ALPHA = 0.2
+#: The upper quantile of a normal distribution that the width of the fold changes is matched at.
+_Z = statistics.NormalDist().inv_cdf(0.975)
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 _ARMS = dict(sample="sample", feature="feature", count="n", arm="arm", control="F", treated="O", strata=["region"])
 
@@ -149,6 +152,24 @@ def differential(spark: SparkSession, sf: str) -> DataFrame:
     return fixed_all(out, ["baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue", "padj"])
 
 
+def lfc_prior(spark: SparkSession, sf: str) -> DataFrame:
+    weighted = _crude(spark, sf).withColumn("weight", 1 / (1 / F.col("baseMean") + 0.1))
+    return fixed_all(da.fold_change_prior(weighted, "log2FoldChange", "weight", ["region"]), ["upper_quantile", "prior_var"])
+
+
+def nb_map(spark: SparkSession, sf: str) -> DataFrame:
+    cells = durable(arm_counts(spark, sf))
+    samples = cells.select("region", "sample", "arm").distinct()
+    out = da.shrunken_wald(cells, samples, **_ARMS)
+    return fixed_all(out, ["baseMean", "dispersion", "log2FoldChange", "lfcSE", "plain", "prior_var", "stat", "pvalue"])
+
+
+def outliers_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    cells, samples = supplier_arms(spark, sf)
+    out = da.nb_wald(durable(cells), samples, "sample", "feature", "n", "arm", "even", "odd", ["study"])
+    return fixed_all(out, ["baseMean", "dispersion", "log2FoldChange", "lfcSE", "max_cook", "stat", "pvalue"])
+
+
 QUERIES = {
     "size_factors": size_factors,
     "norm_mean": norm_mean,
@@ -169,6 +190,9 @@ QUERIES = {
     "full_outer_nulls": outer_with_nulls,
     "nb_wald": nb_wald,
     "differential": differential,
+    "lfc_prior": lfc_prior,
+    "nb_map": nb_map,
+    "outliers_replaced": outliers_replaced,
 }
 
 _FACTORS = ARMS_SQL + """,
@@ -198,7 +222,46 @@ used AS (SELECT c.region, c.step, p, count(*) OVER (PARTITION BY c.region, c.ste
   FROM cut c JOIN tst t ON t.region = c.region AND t.bm >= c.cutoff),
 rej AS (SELECT region, step, max(k) AS n_rej FROM used WHERE p * m / k < 0.2 GROUP BY 1, 2)"""
 
+
+def _smooth_sql(rounds: int = 3, share: float = 0.2, steps: int = 50) -> str:
+    """The robust local straight lines through (theta, n_rej) of each region, round by round, as CTEs; the last is ``fit{rounds}``."""
+    near = max(2, int(share * steps + 1e-7))
+    out = f"""
+pt AS MATERIALIZED (SELECT c.region, c.step, theta AS x, CAST(coalesce(n_rej, 0) AS DOUBLE) AS y, cutoff FROM cut c LEFT JOIN rej USING (region, step)),
+gap AS MATERIALIZED (SELECT a.region, a.step AS i, a.x AS xi, b.step AS j, b.x, b.y, abs(a.x - b.x) AS g, row_number() OVER (PARTITION BY a.region, a.step ORDER BY abs(a.x - b.x)) AS r FROM pt a JOIN pt b USING (region)),
+ker AS MATERIALIZED (SELECT region, i, xi, j, x, y, CASE WHEN g > 0.999 * h THEN 0 WHEN g > 0.001 * h THEN pow(1 - pow(g / h, 3), 3) ELSE 1 END AS k
+  FROM gap JOIN (SELECT region, i, g AS h FROM gap WHERE r = {near}) USING (region, i)),
+wt0 AS (SELECT region, step AS j, 1.0 AS w, FALSE AS done, 0.0 AS old FROM pt)"""
+    for t in range(rounds + 1):
+        out += f""",
+one{t} AS MATERIALIZED (SELECT region, i, any_value(xi) AS xi, sum(k * w) AS total, sum(k * w * x) / nullif(sum(k * w), 0) AS mid, sum(k * w * y) / nullif(sum(k * w), 0) AS level FROM ker JOIN wt{t} USING (region, j) GROUP BY 1, 2),
+two{t} AS MATERIALIZED (SELECT o.region, o.i, any_value(o.total) AS total, any_value(o.level) AS level, any_value(o.xi - o.mid) AS off,
+  sum(k * w * (x - mid) * (x - mid)) / nullif(any_value(o.total), 0) AS spread, sum(k * w * (x - mid) * y) / nullif(any_value(o.total), 0) AS slope
+  FROM one{t} o JOIN ker USING (region, i) JOIN wt{t} USING (region, j) GROUP BY 1, 2),
+fit{t} AS MATERIALIZED (SELECT p.region, p.step, p.x, p.y, p.cutoff, w.done, CASE WHEN w.done THEN w.old WHEN total <= 0 THEN p.y WHEN sqrt(spread) > 0.001 * 0.95 THEN level + off * slope / spread ELSE level END AS fit
+  FROM pt p JOIN two{t} f ON f.region = p.region AND f.i = p.step JOIN wt{t} w ON w.region = p.region AND w.j = p.step)"""
+        if t < rounds:
+            out += f""",
+res{t} AS (SELECT region, 6 * median(abs(y - fit)) AS scale, avg(abs(y - fit)) AS mean, max(abs(y)) AS top FROM fit{t} GROUP BY 1),
+wt{t + 1} AS MATERIALIZED (SELECT f.region, f.step AS j, CASE WHEN abs(y - fit) <= 0.001 * scale THEN 1 WHEN abs(y - fit) <= 0.999 * scale THEN pow(1 - pow(abs(y - fit) / scale, 2), 2) ELSE 0 END AS w,
+  f.done OR scale < 1e-7 * mean OR scale <= 1e-12 * top AS done, fit AS old FROM fit{t} f JOIN res{t} USING (region))"""
+    return out
+
+
 ORACLES = {
+    "lfc_prior": f"""WITH {_CRUDE},
+kn AS (SELECT region, abs(lfc) AS x, 1 / (1 / bm + 0.1) AS w FROM crude WHERE abs(lfc) < 10),
+sz AS (SELECT region, count(*) AS n, sum(w) AS total, max(x) AS top FROM kn GROUP BY 1),
+run AS (SELECT region, x, n, top, 1 + (n - 1) * 0.95 AS spot, sum(v.w) OVER (PARTITION BY region ORDER BY x) * n / total + 1e-9 AS reached FROM (SELECT region, x, sum(w) AS w FROM kn GROUP BY 1, 2) v JOIN sz USING (region)),
+pick AS (SELECT region, n, spot - floor(spot) AS part, coalesce(min(x) FILTER (reached >= greatest(floor(spot), 1)), any_value(top)) AS lo,
+  coalesce(min(x) FILTER (reached >= least(greatest(floor(spot), 1) + 1, n)), any_value(top)) AS hi FROM run GROUP BY region, n, spot)
+SELECT region, n, {fx('(1 - part) * lo + part * hi')} AS upper_quantile, {fx(f'pow(((1 - part) * lo + part * hi) / {_Z}, 2)')} AS prior_var FROM pick""",
+    "filtered_bh": f"""WITH {_CRUDE}, {_CUTS}, {_smooth_sql()},
+lim AS (SELECT region, max(y) AS most, max(fit) - sqrt(avg((y - fit) * (y - fit)) FILTER (y > 0)) AS enough FROM fit3 GROUP BY 1),
+pickd AS (SELECT region, coalesce(min(step) FILTER (most > 10 AND y > enough), 0) AS step FROM fit3 JOIN lim USING (region) GROUP BY 1),
+msk AS (SELECT t.region, t.feature, t.p AS pvalue, CASE WHEN t.bm >= c.cutoff THEN t.p END AS p FROM tst t JOIN pickd d USING (region) JOIN cut c ON c.region = d.region AND c.step = d.step),
+adj AS {_bh_sql('msk', 'region')}
+SELECT m.region, m.feature, {fx('m.pvalue')} AS pvalue, {fx('a.padj')} AS padj FROM msk m LEFT JOIN adj a USING (region, feature)""",
     "size_factors": f"WITH {_FACTORS} SELECT region, sample, {fx('size_factor')} AS size_factor FROM factors",
     "norm_mean": f"""WITH {_FACTORS} SELECT region, feature, {fx('sum(n / size_factor) / max(m)')} AS "baseMean"
 FROM arms JOIN factors USING (region, sample) JOIN n_smp USING (region) GROUP BY 1, 2""",

@@ -84,6 +84,18 @@ def split_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def supplier_arms(spark: SparkSession, folder: str, outlier: int = 60) -> tuple[DataFrame, DataFrame]:
+    """Lines per (supplier, brand) and the suppliers in two arms of many; one count in every fifth brand is ``outlier`` times as large."""
+    lines = load(spark, folder, "lineitem").select("l_partkey", "l_suppkey")
+    parts = load(spark, folder, "part").select("p_partkey", "p_brand")
+    cells = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("sample"), F.col("p_brand").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+    brand = F.regexp_extract("feature", "[0-9]+", 0).cast("int")
+    odd = (brand % 5 == 0) & (F.col("sample") == brand % 7 + 1)
+    suppliers = load(spark, folder, "supplier").select(F.col("s_suppkey").alias("sample"))
+    samples = suppliers.select(F.lit("all").alias("study"), "sample", F.when(F.col("sample") % 2 == 0, "even").otherwise("odd").alias("arm"))
+    return cells.withColumn("n", F.when(odd, F.col("n") * outlier).otherwise(F.col("n"))), samples
+
+
 LINES_SQL = """
 lines AS (
   SELECT c.c_nationkey AS nation, l.l_suppkey AS supp, l.l_linestatus AS ls, o.o_orderstatus AS os,
