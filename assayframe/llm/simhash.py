@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayframe.llm.common import durable, whole_row
 from assayframe.llm.components import components
+from assayframe.operators.joins import attach_group_values
 
 BITS = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -176,7 +177,7 @@ def near_links(distinct: DataFrame, radius: int = 2, crowd: int = CROWD) -> Data
     keys = distinct.select("rep", "fp").mapInArrow(_keys(groups, thresholds), "part int, key long, probe boolean, rep long, fp long")
     keys = durable(keys)
     sizes = durable(keys.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("probe"), 1)).alias("stored")).where("n > 1 AND stored > 0"))
-    met = durable(keys.join(sizes.select("part", "key", "n"), ["part", "key"]))
+    met = durable(keys.join(sizes.select("part", "key", "n").hint("merge"), ["part", "key"]))
     small = met.where(F.col("n") <= crowd).repartition("part", "key").groupBy("part", "key").agg(F.collect_list(F.struct("rep", "fp", "probe")).alias("m"))
     pairs = small.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (
         ~x["probe"] & (x["rep"] != y["rep"]) & (y["probe"] | (x["rep"] > y["rep"])) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius))),
@@ -187,7 +188,7 @@ def near_links(distinct: DataFrame, radius: int = 2, crowd: int = CROWD) -> Data
         return pairs.unionByName(named)
     named = durable(crowded.mapInArrow(_named, "value long, rep long"))
     first = durable(named.groupBy("value").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    return pairs.unionByName(named.join(first, "value").where("rep <> a").select("a", F.col("rep").alias("b")))
+    return pairs.unionByName(named.join(first.hint("merge"), "value").where("rep <> a").select("a", F.col("rep").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,8 +201,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, crowd: int
     rows = durable(fingerprints(docs, id_col, text_col, width))
     distinct = durable(rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = durable(components(near_links(distinct, radius, crowd)))
-    named = durable(distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = durable(distinct.join(found.hint("merge"), distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
+    # Copies and empty texts share a fingerprint; they are spread by their place in the written table.
+    numbered = rows.withColumn("_place", F.monotonically_increasing_id())
+    return attach_group_values(numbered, named, ["fp"], ["_place"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
