@@ -171,6 +171,11 @@ QUERIES = {
     "melt": melt_measures,
 }
 
+FIGURE_SQL = f"""
+WITH m AS (SELECT event_type, CAST(day(ts) AS INTEGER) AS day, avg(value) AS a, stddev_samp(value) AS s FROM events GROUP BY 1, 2)
+SELECT CASE WHEN event_type = 'click' THEN 'fig_early' ELSE 'fig_late' END AS figure, event_type AS panel, event_type, day,
+  {fx('a')} AS mean, {fx('a - s')} AS lo, {fx('a + s')} AS hi
+FROM m WHERE (event_type = 'click' AND day <= 10) OR (event_type = 'view' AND day BETWEEN 20 AND 30)"""
 _windows_sql = ", ".join(
     "(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in WINDOWS)
 _years_sql = """
@@ -257,11 +262,7 @@ SELECT c_mktsegment, measure, n1, n2, choice, """ + ", ".join(
 WITH t AS (SELECT l_orderkey, nullif(l_tax, 0.08) AS tax FROM lineitem)
 SELECT l_orderkey, CASE WHEN count(tax) = count(*) THEN max(tax) END AS strict_max, max(tax) AS loose_max,
   {fx('CASE WHEN count(tax) = count(*) THEN sum(tax) END')} AS strict_sum FROM t GROUP BY 1""",
-    "figure_feed": f"""
-WITH m AS (SELECT event_type, CAST(day(ts) AS INTEGER) AS day, avg(value) AS a, stddev_samp(value) AS s FROM events GROUP BY 1, 2)
-SELECT CASE WHEN event_type = 'click' THEN 'fig_early' ELSE 'fig_late' END AS figure, event_type AS panel, event_type, day,
-  {fx('a')} AS mean, {fx('a - s')} AS lo, {fx('a + s')} AS hi
-FROM m WHERE (event_type = 'click' AND day <= 10) OR (event_type = 'view' AND day BETWEEN 20 AND 30)""",
+    "figure_feed": FIGURE_SQL,
     "ordered_levels": "SELECT o_orderpriority, count(*) AS n_rows, CAST(6 - CAST(left(o_orderpriority, 1) AS INTEGER) AS INTEGER) AS level_rank FROM orders GROUP BY 1",
     "duplicate_keys": "SELECT user_id, event_type, count(*) AS n_rows FROM events GROUP BY 1, 2 HAVING count(*) > 1",
     "melt": f"""

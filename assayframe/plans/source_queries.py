@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayframe.functions.columns import nan_to_null
-from assayframe.operators.reshape import melt, present, spread
+from assayframe.operators.reshape import melt, present, rename_columns, spread
 from assayframe.operators.summarize import distinct_count, share_of_total
+from assayframe.plans.growth_queries import FIGURE_SQL, figure_panels
 from assayframe.plans.tables import ABUND_SQL, abund, fixed, fixed_sql as fx, load, regions
-from assayframe.session import shared_folder
-from assayframe.sources.readers import read_feature_matrix, read_keyed_matrix, read_table
-from assayframe.sources.writers import write_text
+from assayframe.session import durable, shared_folder
+from assayframe.sources.readers import read_checked, read_feature_matrix, read_keyed_matrix, read_table
+from assayframe.sources.writers import write_mart, write_text
 
 SAMPLES = [f"s{i}" for i in range(25)]
 DROPPED = ["s3", "s7", "s24"]
@@ -49,6 +50,29 @@ def scan_row_key(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, path, {"c_custkey": "long"})
 
 
+def quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as text with planted bad lines: how many records of each kind, and the balance of those that are rows."""
+    path = _path(spark)
+    key = F.col("c_custkey") % 10
+    fields = [F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_mktsegment", F.lit(', "')), F.when(key == 3, "n/a?").otherwise(F.col("c_acctbal").cast("string"))]
+    line = F.when(key == 5, F.concat_ws(",", *fields[:2])).when(key == 7, F.concat_ws(",", *fields, F.lit("extra"))).otherwise(F.concat_ws(",", *fields))
+    load(spark, sf, "customer").select(line.alias("value")).write.text(path)
+    schema = T.StructType().add("c_custkey", "long").add("segment", "string").add("c_acctbal", "double")
+    rows, bad = read_checked(spark, path, schema)
+    kept = rows.agg(F.lit("row").alias("reason"), F.count(F.lit(1)).alias("n"), fixed(F.sum("c_acctbal"), 2).alias("balance"))
+    return kept.unionByName(bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("balance")))
+
+
+def figure_mart(spark: SparkSession, sf: str) -> DataFrame:
+    """The figure feed written twice, as a rerun does, then one of its figures once more, and read back."""
+    path = _path(spark)
+    feed = durable(figure_panels(spark, sf))
+    write_mart(feed, path)
+    write_mart(feed, path)
+    write_mart(rename_columns(rename_columns(feed, {"mean": "middle"}), {"middle": "mean"}).filter("figure = 'fig_late'"), path)
+    return spark.read.parquet(path).select(*feed.columns)
+
+
 def _wide(spark: SparkSession, sf: str) -> DataFrame:
     return spread(abund(spark, sf).withColumn("col", F.concat(F.lit("s"), F.col("sample"))), ["feature"], "col", SAMPLES, "n")
 
@@ -107,6 +131,8 @@ QUERIES = {
     "scan_csv": scan_csv,
     "scan_tab": scan_tab,
     "scan_row_key": scan_row_key,
+    "quarantine": quarantine,
+    "figure_mart": figure_mart,
     "scan_matrix": scan_matrix,
     "scan_pathways": scan_pathways,
     "distinct_customers": distinct_customers,
@@ -128,6 +154,10 @@ def _wide_sql(columns: list[str], kind: str = "BIGINT", absent: str = "NULL") ->
 ORACLES = {
     "scan_csv": "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS o_totalprice, o_orderpriority FROM orders",
     "scan_tab": "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem",
+    "quarantine": f"""
+WITH c AS (SELECT c_acctbal AS b, CASE c_custkey % 10 WHEN 3 THEN 'value' WHEN 5 THEN 'short' WHEN 7 THEN 'long' ELSE 'row' END AS reason FROM customer)
+SELECT reason, count(*) AS n, CASE WHEN reason = 'row' THEN {fx('sum(b)', 2)} END AS balance FROM c GROUP BY 1""",
+    "figure_mart": FIGURE_SQL,
     "scan_row_key": "SELECT c_name AS row_key, c_custkey, c_mktsegment FROM customer",
     "scan_matrix": f"WITH {ABUND_SQL} SELECT feature, 'k__All; p__Part' AS taxonomy, 's' || sample AS sample, sum(n)::DOUBLE AS abundance FROM abund GROUP BY ALL",
     "scan_pathways": f"WITH {ABUND_SQL} SELECT feature, {_wide_sql(SAMPLES, 'DOUBLE', '0')} FROM abund GROUP BY 1",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from assayframe.session import durable
+
 
 def _header(spark: SparkSession, path: str, starts: str | None = None) -> str:
     lines = spark.read.text(path)
@@ -48,6 +51,39 @@ def read_table(
     )
 
 
+def read_checked(
+    spark: SparkSession,
+    path: str,
+    types: Mapping[str, str] | T.StructType,
+    sep: str = ",",
+    na: str = "NA",
+    row_key: str = "row_key",
+) -> tuple[DataFrame, DataFrame]:
+    """``read_table`` with the records that do not fit kept apart: ``(rows, quarantined)``.
+
+    A record with too few or too many fields, or with a field that is not of its type, is not a row; it goes to ``(file, reason, record)`` with the reason
+    ``short``, ``long`` or ``value``. Together they hold every record once. The scan is written out once, as both results come from it.
+    """
+    if not isinstance(types, T.StructType):
+        names = [n or row_key for n in _names(_header(spark, path), sep)]
+        types = T._parse_datatype_string(", ".join(f"`{n}` {types.get(n, 'string')}" for n in names))
+        header = True
+    else:
+        header = False
+    mark, file = "__record", "__file"
+    raw = (
+        spark.read.schema(T.StructType([*types.fields, T.StructField(mark, T.StringType())]))
+        .option("header", header).option("enforceSchema", True).option("sep", sep).option("nullValue", na)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", mark).csv(path)
+    )
+    read = durable(raw.withColumn(file, F.col("_metadata.file_path")))
+    # Separators inside quotes do not part fields.
+    fields = F.size(F.split(F.regexp_replace(mark, '"[^"]*"', ""), re.escape(sep), -1))
+    reason = F.when(fields < len(types), "short").when(fields > len(types), "long").otherwise("value")
+    bad = read.filter(F.col(mark).isNotNull()).select(F.col(file).alias("file"), reason.alias("reason"), F.col(mark).alias("record"))
+    return read.filter(F.col(mark).isNull()).drop(mark, file), bad
+
+
 def read_feature_matrix(
     spark: SparkSession,
     path: str,

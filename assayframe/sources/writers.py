@@ -9,15 +9,20 @@ def write_text(df: DataFrame, path: str, na: str = "NA", sep: str = ",", mode: s
     df.write.mode(mode).option("header", True).option("nullValue", na).option("sep", sep).csv(path)
 
 
-def write_mart(df: DataFrame, path: str, partition: str = "figure", mode: str = "append") -> None:
+def write_mart(df: DataFrame, path: str, partition: str = "figure", mode: str = "replace") -> None:
     """Parquet table with one folder per figure, so that a reader of one figure scans only its part.
 
-    Rows are spread by the partition column and a hash of the row, so that a large figure is written by
-    many tasks and small ones do not each leave a file per task.
+    A figure that is written again takes the place of its former rows, and other figures stay, so a rerun leaves the table as it was: the new
+    folders are written aside and moved in when the job commits. ``mode="append"`` adds rows instead. Rows are spread by the partition column and a hash of the row, so
+    that a large figure is written by many tasks and small ones do not each leave a file per task.
     """
     others = [c for c in df.columns if c != partition]
     spread = F.pmod(F.xxhash64(*others), F.lit(16))
-    df.repartition(partition, spread).write.mode(mode).partitionBy(partition).parquet(path)
+    out = df.repartition(partition, spread).write.partitionBy(partition)
+    if mode == "replace":
+        out = out.option("partitionOverwriteMode", "dynamic")
+        mode = "overwrite"
+    out.mode(mode).parquet(path)
 
 
 def result_summary(df: DataFrame, alpha: float, by: list[str] | None = None) -> DataFrame:

@@ -58,3 +58,26 @@ def test_result_summary(spark):
     data = [(5.0, 1.0, 0.001, 0.01), (5.0, -1.0, 0.001, 0.01), (5.0, 2.0, None, None), (1.0, 1.0, 0.3, None), (9.0, 1.0, 0.5, 0.5)]
     df = spark.createDataFrame(data, "baseMean double, log2FoldChange double, pvalue double, padj double")
     assert tuple(result_summary(df, 0.05).head()) == (5, 1, 1, 1, 1)
+
+
+def test_records_that_do_not_fit_are_kept_apart(spark, tmp_path):
+    from assayframe.sources.readers import read_checked
+
+    lines = ["id,name,v", "1,a,2.5", "2,b,oops", "3,c", "4,d,1,9", '5,"e, with comma",7', "6,NA,NA", "x,f,1", '7,"g,h']
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    rows, bad = read_checked(spark, str(tmp_path / "t.csv"), {"id": "long", "v": "double"})
+    assert sorted((r.id, r.name, r.v) for r in rows.collect()) == [(1, "a", 2.5), (5, "e, with comma", 7.0), (6, None, None)]
+    got = {r.record: r.reason for r in bad.collect()}
+    assert got["2,b,oops"] == got["x,f,1"] == "value" and got["3,c"] == "short" and got["4,d,1,9"] == "long"
+    assert len(got) + rows.count() == len(lines) - 1 and all(r.file.endswith("t.csv") for r in bad.collect())
+
+
+def test_a_mart_may_be_written_again(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    df = spark.createDataFrame([("f1", 1), ("f1", 2), ("f2", 3)], "figure string, v int")
+    write_mart(df, path)
+    write_mart(df, path)
+    write_mart(df.filter("figure = 'f1' AND v = 2"), path)
+    assert sorted((r.figure, r.v) for r in spark.read.parquet(path).collect()) == [("f1", 2), ("f2", 3)]
+    write_mart(df.filter("v = 3"), path, mode="append")
+    assert spark.read.parquet(path).count() == 3
