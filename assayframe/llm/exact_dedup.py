@@ -1,9 +1,11 @@
-"""Exact duplicates by a tree merge of digest runs.
+"""Exact duplicates by a tree merge of sorted digest runs.
 
-Rows are dealt into runs by a hash of their id. Each run is reduced to one entry per digest (its size and its best row);
-in each round, runs whose numbers differ in the last bits of a binomial tree exchange entries by digest and merge, so that no
-task sees more than ``fan_in`` entries of one digest, however many copies there are. The way back down repeats the
-tree: the winner of a digest meets one entry per run, and a run's entry meets the rows of that run.
+Rows are dealt into runs by a hash of their id, and each run is reduced to one entry per digest (its size and its best row), sorted by digest.
+Runs are then merged in binomial rounds. In the round of some bits, each run deals its entries among the runs whose numbers differ from its own in
+these bits only, by the same bits of the digest's hash; so each run receives one sorted part from every partner, merges them, and keeps the verified best entry
+of a digest. After the last round a run's number is that of its digests, and each digest stands in one run. A digest has at most one entry per run and round, so no
+task sees more than ``fan_in`` of them at once, however many copies there are. On the way back the winner of a digest meets one entry per run, and a
+run's entry meets the rows of that run.
 """
 
 from __future__ import annotations
@@ -35,12 +37,14 @@ def tree_merge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "_points", F.unhex(F.sha2("_text", 256)).alias("_digest"), F.octet_length("_text").alias("_length"),
         F.xxhash64("_text").alias("_second"), F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("_run")))
     # Bitwise not reverses the order of ids, so that one maximum finds the most points and then the smallest id.
-    entries = durable(rows.groupBy(*KEY, "_run").agg(F.count(F.lit(1)).alias("_n"), _best(F.bitwise_not("doc_id"), F.col("_points"))))
-    merged, width = entries, runs
-    while width > 1:
-        merged = merged.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
-        merged = merged.groupBy(*KEY, "_run").agg(F.sum("_n").alias("_n"), F.max("_best").alias("_best"))
-        width = -(-width // fan_in)
+    entries = durable(rows.groupBy("_run", *KEY).agg(F.count(F.lit(1)).alias("_n"), _best(F.bitwise_not("doc_id"), F.col("_points"))))
+    merged, step = entries, max(1, (fan_in - 1).bit_length())
+    for low in range(0, max(1, (runs - 1).bit_length()), step):
+        bits = ((1 << step) - 1) << low
+        run = F.col("_run").bitwiseAND(F.lit(~bits)).bitwiseOR(F.col("_second").bitwiseAND(F.lit(bits)).cast("int"))
+        # Parts of runs come together and are merged in the order of their digests.
+        met = merged.withColumn("_run", run).repartition("_run").sortWithinPartitions("_run", *KEY)
+        merged = met.groupBy("_run", *KEY).agg(F.sum("_n").alias("_n"), F.max("_best").alias("_best"))
     winners = merged.select(*KEY, F.col("_n").alias("group_size"), F.bitwise_not(F.col("_best.inverse")).alias("keep_id"))
     down = entries.select(*KEY, "_run").join(winners, KEY)
     return rows.join(down, [*KEY, "_run"]).select(
