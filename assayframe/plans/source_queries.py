@@ -57,9 +57,9 @@ def quarantine(spark: SparkSession, sf: str) -> DataFrame:
     fields = [F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_mktsegment", F.lit(', "')), F.when(key == 3, "n/a?").otherwise(F.col("c_acctbal").cast("string"))]
     line = F.when(key == 5, F.concat_ws(",", *fields[:2])).when(key == 7, F.concat_ws(",", *fields, F.lit("extra"))).otherwise(F.concat_ws(",", *fields))
     load(spark, sf, "customer").select(line.alias("value")).write.text(path)
-    schema = T.StructType().add("c_custkey", "long").add("segment", "string").add("c_acctbal", "double")
+    schema = T.StructType().add("c_custkey", "long").add("segment", "string").add("acct", "double")
     rows, bad = read_checked(spark, path, schema)
-    kept = rows.agg(F.lit("row").alias("reason"), F.count(F.lit(1)).alias("n"), fixed(F.sum("c_acctbal"), 2).alias("balance"))
+    kept = rename_columns(rows, {"balance": "acct"}).agg(F.lit("row").alias("reason"), F.count(F.lit(1)).alias("n"), fixed(F.sum("balance"), 2).alias("balance"))
     return kept.unionByName(bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("balance")))
 
 
@@ -69,7 +69,7 @@ def figure_mart(spark: SparkSession, sf: str) -> DataFrame:
     feed = durable(figure_panels(spark, sf))
     write_mart(feed, path)
     write_mart(feed, path)
-    write_mart(rename_columns(rename_columns(feed, {"mean": "middle"}), {"middle": "mean"}).filter("figure = 'fig_late'"), path)
+    write_mart(feed.filter("figure = 'fig_late'"), path)
     return spark.read.parquet(path).select(*feed.columns)
 
 
