@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import statistics
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -310,9 +311,54 @@ def dispersion_trend(points: DataFrame, strata: Sequence[str], mean: str = "base
     return fitted.unionByName(durable(local_trend(some, strata, mean, disp)))
 
 
+#: With so few residual degrees of freedom the spread of log dispersions is matched, not computed; candidates for the prior variance, and bins of the residuals.
+FEW_DF = 3
+SPREADS, RESIDUALS = np.arange(0, 801) / 100, np.arange(-40, 41) / 2
+
+
+@lru_cache(maxsize=8)
+def _residual_shares(df: int) -> np.ndarray:
+    """Chance of each residual bin for each prior variance: log chi-square over its degrees of freedom plus a normal variable, by convolution."""
+    gap = 0.05
+    z = np.arange(-800, 801) * gap
+    log_x = z + math.log(df)
+    density = np.exp(df * log_x / 2 - np.exp(np.minimum(log_x, 50)) / 2 - df / 2 * math.log(2) - math.lgamma(df / 2))
+    out = np.empty((len(SPREADS), len(RESIDUALS) - 1))
+    slot = np.floor((z - RESIDUALS[0]) / 0.5 + 1e-9).astype(int)
+    inside = (slot >= 0) & (slot < out.shape[1])
+    for i, v in enumerate(SPREADS):
+        reach = np.arange(-int(8 * math.sqrt(v) / gap) - 1, int(8 * math.sqrt(v) / gap) + 2) * gap
+        kernel = np.exp(-reach**2 / (2 * max(v, 1e-9)))
+        full = np.convolve(density, kernel / kernel.sum(), "same")
+        out[i] = np.bincount(slot[inside], full[inside] * gap, out.shape[1])
+    return out
+
+
+def matched_spread(residuals: DataFrame, value: str, df: str, strata: Sequence[str]) -> DataFrame:
+    """``(strata, spread)``: variance of the normal part of log dispersions around the trend, where the chi-square part is known by ``df`` (at most ``FEW_DF``).
+
+    Residuals are counted by bins of one half; the variance is the one whose table of chances has the least divergence from these counts.
+    """
+    spark, strata = residuals.sparkSession, list(strata)
+    small = 1e-6
+    dfs = [r[0] for r in residuals.select(df).distinct().collect()]
+    rows = [(k, float(v), b, float(math.log(share + small))) for k in dfs for v, shares in zip(SPREADS, _residual_shares(k)) for b, share in enumerate(shares)]
+    table = small_table(spark, rows, T.StructType().add("__df", "integer").add("spread", "double").add("bin", "integer").add("__log", "double"))
+    bins = F.floor((F.col(value) - float(RESIDUALS[0])) * 2).cast("int")
+    counts = residuals.withColumn("bin", bins).filter(F.col("bin").between(0, len(RESIDUALS) - 2)).groupBy(*strata, F.col(df).alias("__df"), "bin").agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.groupBy(*strata).agg(F.sum("__n").alias("__all"))
+    shares = counts.join(_bare(total, strata, "t"), _on(strata, "t")).withColumn("__p", F.col("__n") / F.col("__all")).select(*strata, "__df", "bin", "__p")
+    apart = shares.join(table, ["__df", "bin"]).groupBy(*strata, "spread").agg(F.sum(F.col("__p") * (F.ln(F.col("__p") + small) - F.col("__log"))).alias("__apart"))
+    return apart.groupBy(*strata).agg(F.min(F.struct("__apart", "spread"))["spread"].alias("spread"))
+
+
 def dispersion_prior(points: DataFrame, trend: DataFrame, strata: Sequence[str], n_samples: DataFrame,
                      bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Spread of log dispersions around the trend (by median absolute deviation) and the prior variance."""
+    """Spread of log dispersions around the trend (by median absolute deviation) and the prior variance.
+
+    The prior variance is that spread less the sampling variance of a log dispersion; with at most ``FEW_DF`` residual degrees of freedom, where the sampling
+    distribution is far from normal, it is matched (``matched_spread``).
+    """
     keys = list(strata)
     resid = points.join(_bare(trend, keys, "t"), _on(keys, "t"), "inner").select(
         *keys, F.ln(F.col("disp_gene") / _trend_column("base_mean")).alias("res"))
@@ -320,11 +366,15 @@ def dispersion_prior(points: DataFrame, trend: DataFrame, strata: Sequence[str],
     off = resid.join(_bare(mid, keys, "m"), _on(keys, "m"), "inner").withColumn("off", F.abs(F.col("res") - F.col("mid"))).select(*keys, "off")
     mad = exact_median(off, "off", keys, "mad", bucket_rows)
     known = mad.join(_bare(n_samples, keys, "n"), _on(keys, "n"), "inner").select(*keys, "mad", "n_samples")
+    few = resid.join(_bare(n_samples, keys, "n"), _on(keys, "n")).drop(*[f"__n_{k}" for k in keys]).withColumn(
+        "df", F.greatest(F.col("n_samples") - 2, F.lit(1)).cast("int")).filter(F.col("df") <= FEW_DF)
     # One row per stratum: the sampling variance of a log dispersion depends on the sample count only.
-    rows = [
-        (*[r[k] for k in keys], v := (1.4826 * r["mad"]) ** 2, max(v - nbfit.trigamma(max(r["n_samples"] - 2, 1) / 2), 0.25))
-        for r in known.collect()
-    ]
+    strata_rows = known.collect()
+    matched = {tuple(r[k] for k in keys): r["spread"] for r in matched_spread(few, "res", "df", keys).collect()} if any(r["n_samples"] - 2 <= FEW_DF for r in strata_rows) else {}
+    rows = []
+    for r in strata_rows:
+        key, spread = tuple(r[k] for k in keys), (1.4826 * r["mad"]) ** 2
+        rows.append((*key, spread, max(matched[key] if key in matched else spread - nbfit.trigamma(max(r["n_samples"] - 2, 1) / 2), 0.25)))
     schema = T.StructType([points.schema[k] for k in keys]).add("resid_var", "double").add("prior_var", "double")
     return small_table(points.sparkSession, rows, schema)
 

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,3 +304,21 @@ def test_shrunken_fold_changes_maximise_the_penalised_likelihood(spark, counts):
         assert best[0.0] <= min(best.values()) + 1e-6
         assert abs(r.log2FoldChange) <= abs(r.plain) + 1e-6
     assert len({(k[0], r.prior_var) for k, r in got.items()}) == 2
+
+
+def test_prior_of_a_two_against_two_design_matches_a_long_simulation(spark):
+    rng = np.random.default_rng(26)
+    want = {("a", 2): 1.5, ("b", 2): 0.6, ("c", 1): 3.0, ("d", 3): 1.0}
+    parts = [pd.DataFrame({"st": st, "df": df, "res": np.log(rng.chisquare(df, 100_000)) - math.log(df) + rng.normal(0, math.sqrt(var), 100_000)}) for (st, df), var in want.items()]
+    df = spark.createDataFrame(pd.concat(parts)).withColumn("df", F.col("df").cast("int"))
+    got = {r.st: r.spread for r in da.matched_spread(df, "res", "df", ["st"]).collect()}
+    assert got == {r.st: r.spread for r in da.matched_spread(df.repartition(5), "res", "df", ["st"]).collect()}
+    for (st, _), var in want.items():
+        assert abs(got[st] / var - 1) < 0.05
+
+
+def test_two_against_two_design_runs(spark, counts):
+    cells, samples = counts
+    four = samples.filter(F.substring("sample", 2, 1).isin("0", "1", "4", "5"))
+    out = da.nb_wald(cells, four, **ARGS).collect()
+    assert out and all(r.converged and r.dispersion > 0 for r in out if r.baseMean > 1)
