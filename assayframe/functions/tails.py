@@ -94,6 +94,25 @@ def f_quantile(prob: float, d1: float, d2: float) -> float:
     return (lo + hi) / 2
 
 
+def f_quantiles(prob, d1, d2) -> np.ndarray:
+    """``f_quantile`` row by row, by bisection on the logarithm of F; each row's tail is taken on its smaller side."""
+    prob, d1, d2 = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (prob, d1, d2)))
+    ok = (prob > 0) & (prob < 1) & (d1 > 0) & (d2 > 0)
+    p, a, b = (np.where(ok, v, w) for v, w in ((prob, 0.5), (d1, 1.0), (d2, 1.0)))
+    below = lambda x: np.where(p < 0.5, f_lower(np.exp(x), a, b) < p, f_upper(np.exp(x), a, b) > 1 - p)
+    lo, hi = np.full(p.shape, -1.0), np.full(p.shape, 1.0)
+    for _ in range(60):
+        short, far = below(hi), ~below(lo)
+        if not (short.any() or far.any()):
+            break
+        lo, hi = np.where(far, lo * 2, lo), np.where(short, hi * 2, hi)
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        right = below(mid)
+        lo, hi = np.where(right, mid, lo), np.where(right, hi, mid)
+    return np.where(ok, np.exp((lo + hi) / 2), np.nan)
+
+
 def t_quantile(prob, df) -> np.ndarray:
     """Upper-half quantile of Student's t (``prob`` >= 0.5), bisected on the two-sided tail."""
     prob, df = np.broadcast_arrays(np.asarray(prob, dtype=float), np.asarray(df, dtype=float))
@@ -144,6 +163,11 @@ def _t_q(prob: pd.Series, df: pd.Series) -> pd.Series:
     return _as_series(t_quantile(prob.fillna(0.5), df.fillna(1.0)), ok)
 
 
+def _f_q(prob: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+    ok = (prob.notna() & d1.notna() & d2.notna()).to_numpy()
+    return _as_series(f_quantiles(prob.fillna(0.5), d1.fillna(1.0), d2.fillna(1.0)), ok)
+
+
 def _vectorised(fn):
     """Arrow function for the running session (made per use, so that it never outlives its context)."""
     ship()
@@ -167,3 +191,7 @@ def normal_p_value(z: Column) -> Column:
 
 def t_critical(prob: Column, df: Column) -> Column:
     return _vectorised(_t_q)(prob.cast("double"), df.cast("double"))
+
+
+def f_critical(prob: Column, d1: Column, d2: Column) -> Column:
+    return _vectorised(_f_q)(prob.cast("double"), d1.cast("double"), d2.cast("double"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from assayframe.functions.columns import ratio
-from assayframe.functions.tails import f_p_value, t_critical, t_p_value
+from assayframe.functions.tails import f_critical, f_p_value, t_critical, t_p_value
 
 
 def arm_moments(df: DataFrame, groups: Sequence[str], arm: str, control, treated, measures: Sequence[str]) -> DataFrame:
@@ -38,11 +38,13 @@ def two_sample(
     measures: Sequence[str],
     alpha_f: float = 0.05,
     conf: float | None = None,
+    conf_f: float | None = None,
 ) -> DataFrame:
     """F test of equal variances, pooled and Welch t tests, and the t test the F test calls for.
 
     The differences and ratios are control over treated. A zero variance on one side is the clearest case of
-    unequal variances: F is infinite or 0 and its p-value 0. Zero on both sides leaves the statistics NULL. ``conf`` adds the confidence limits of the mean difference.
+    unequal variances: F is infinite or 0 and its p-value 0. Zero on both sides leaves the statistics NULL. ``conf`` adds the confidence limits of the mean difference,
+    ``conf_f`` those of the variance ratio (``f_lo``, ``f_hi``; NULL where the ratio is not a positive number).
     """
     m = arm_moments(df, groups, arm, control, treated, measures)
     c = F.col
@@ -79,4 +81,10 @@ def two_sample(
             "ci_lo": c("m1") - c("m2") - half,
             "ci_hi": c("m1") - c("m2") + half,
         })
+    if conf_f is not None:
+        plain = F.when(~one_sided, c("f"))
+        chosen = chosen.withColumns({
+            "f_lo": plain / f_critical(F.lit((1 + conf_f) / 2), c("df1"), c("df2")),
+            "f_hi": plain / f_critical(F.lit((1 - conf_f) / 2), c("df1"), c("df2")),
+        })
     return chosen.drop("__sp", "__sw", "__se")

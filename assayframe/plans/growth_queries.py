@@ -108,15 +108,15 @@ def loglinear_terms(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders").select("o_orderpriority", "o_orderstatus", "o_totalprice",
                                               (_micros("o_orderdate") / F.lit(86_400e6 * 365)).alias("years"))
     fit = linear_fit(orders, ["o_orderpriority", "o_orderstatus"], "years", "o_totalprice", log_y=True)
-    return fixed_all(fit, ["slope", "intercept", "slope_se", "intercept_se", "r2"])
+    return fixed_all(fit, ["slope", "intercept", "slope_se", "intercept_se", "r2", "slope_t", "intercept_t", "slope_p", "intercept_p"])
 
 
 def two_sample_tests(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_totalprice",
                                               F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("day"))
     segments = load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    tests = two_sample(orders.join(segments, "o_custkey"), ["c_mktsegment"], "o_orderstatus", "F", "O", ["o_totalprice", "day"])
-    numbers = ["m1", "m2", "f", "t_pooled", "df_pooled", "t_welch", "df_welch", "t", "df", "p_f", "p_t"]
+    tests = two_sample(orders.join(segments, "o_custkey"), ["c_mktsegment"], "o_orderstatus", "F", "O", ["o_totalprice", "day"], conf_f=0.95)
+    numbers = ["m1", "m2", "f", "t_pooled", "df_pooled", "t_welch", "df_welch", "t", "df", "p_f", "p_t", "f_lo", "f_hi"]
     return fixed_all(tests, numbers).select("c_mktsegment", "measure", "n1", "n2", "choice", *numbers)
 
 
@@ -188,14 +188,14 @@ change AS (SELECT a.c_nationkey, b.price - a.price AS change,
   LEFT JOIN yearly b ON b.c_nationkey = k.c_nationkey AND b.yr = 2001)"""
 
 
-def f_tail_sql(source: str, f: str, d1: str, d2: str, keys: str, out: str) -> str:
+def f_tail_sql(source: str, f: str, d1: str, d2: str, keys: str, out: str, steps: int = 20_000) -> str:
     """Lower tail of an F variable by the midpoint rule, after x = sin(theta)^2 in the beta integral."""
     return f"""
 {out} AS (
   WITH edge AS (SELECT {keys}, {d1} AS d1, {d2} AS d2, asin(sqrt({d1} * {f} / ({d1} * {f} + {d2}))) AS th FROM {source}),
-  nodes AS (SELECT e.*, s.lo + (s.hi - s.lo) * (g.i + 0.5) / 20000 AS x, (s.hi - s.lo) / 20000 AS h, s.part
+  nodes AS (SELECT e.*, s.lo + (s.hi - s.lo) * (g.i + 0.5) / {steps} AS x, (s.hi - s.lo) / {steps} AS h, s.part
     FROM edge e, LATERAL (SELECT 0.0 AS lo, e.th AS hi, 'low' AS part UNION ALL SELECT e.th, pi() / 2, 'high') s,
-    (SELECT unnest(range(20000)) AS i) g),
+    (SELECT unnest(range({steps})) AS i) g),
   logs AS (SELECT *, (d1 - 1) * ln(sin(x)) + (d2 - 1) * ln(cos(x)) AS lg FROM nodes),
   peak AS (SELECT {keys}, max(lg) AS top FROM logs GROUP BY ALL)
   SELECT {keys}, sum(CASE WHEN part = 'low' THEN h * exp(lg - top) ELSE 0 END) / sum(h * exp(lg - top)) AS low,
@@ -203,6 +203,19 @@ def f_tail_sql(source: str, f: str, d1: str, d2: str, keys: str, out: str) -> st
   FROM logs JOIN peak USING ({keys}) GROUP BY {keys})"""
 
 
+def f_quantile_sql(source: str, d1: str, d2: str, keys: str, probs: tuple[float, ...], out: str, steps: int = 200_000) -> str:
+    """Quantiles q0, q1, ... of F variables: the running sum over the beta integral's steps, read backwards between two steps."""
+    picks = ", ".join(f"arg_min(d2 / d1 * pow(tan((i + 1 - (cum - {p!r}) / w) * pi() / 2 / {steps}), 2), i) FILTER (cum >= {p!r}) AS q{k}" for k, p in enumerate(probs))
+    return f"""
+{out} AS (
+  WITH node AS (SELECT {keys}, {d1} AS d1, {d2} AS d2, i, (i + 0.5) * pi() / 2 / {steps} AS x FROM {source}, (SELECT unnest(range({steps})) AS i) g),
+  logs AS (SELECT *, (d1 - 1) * ln(sin(x)) + (d2 - 1) * ln(cos(x)) AS lg FROM node),
+  share AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY {keys})) AS e FROM logs),
+  part AS (SELECT *, e / sum(e) OVER (PARTITION BY {keys}) AS w FROM share),
+  run AS (SELECT *, sum(w) OVER (PARTITION BY {keys} ORDER BY i) AS cum FROM part WHERE w > 0)
+  SELECT {keys}, {picks} FROM run GROUP BY {keys})"""
+
+
 ORACLES = {
     "growth_slope": f"""
 WITH e AS (SELECT event_type, user_id, value, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 86400e6 AS d FROM events),
@@ -237,9 +250,14 @@ WITH o AS (SELECT o_orderpriority, o_orderstatus, ln(o_totalprice) AS y, epoch_u
 c AS (SELECT o_orderpriority, o_orderstatus, avg(x) AS mx, avg(y) AS my FROM o GROUP BY 1, 2),
 s AS (SELECT o_orderpriority, o_orderstatus, mx, my, count(*) AS n, sum((x - mx) * (x - mx)) AS sxx, sum((y - my) * (y - my)) AS syy, sum((x - mx) * (y - my)) AS sxy
   FROM o JOIN c USING (o_orderpriority, o_orderstatus) GROUP BY ALL),
-v AS (SELECT *, (syy - sxy * sxy / sxx) / (n - 2) AS s2 FROM s)
-SELECT o_orderpriority, o_orderstatus, {fx('sxy / sxx')} AS slope, {fx('my - mx * sxy / sxx')} AS intercept, {fx('sqrt(s2 / sxx)')} AS slope_se,
-  {fx('sqrt(s2 * (1.0 / n + mx * mx / sxx))')} AS intercept_se, {fx('sxy * sxy / sxx / syy')} AS r2, n FROM v""",
+v AS (SELECT *, (syy - sxy * sxy / sxx) / (n - 2) AS s2 FROM s),
+z AS (SELECT *, sxy / sxx / sqrt(s2 / sxx) AS st, (my - mx * sxy / sxx) / sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS it FROM v),
+{f_tail_sql('z', '(st * st)', '1', '(n - 2)', 'o_orderpriority, o_orderstatus', 'sp', 200_000)},
+{f_tail_sql('z', '(it * it)', '1', '(n - 2)', 'o_orderpriority, o_orderstatus', 'ip', 200_000)}
+SELECT z.o_orderpriority, z.o_orderstatus, {fx('sxy / sxx')} AS slope, {fx('my - mx * sxy / sxx')} AS intercept, {fx('sqrt(s2 / sxx)')} AS slope_se,
+  {fx('sqrt(s2 * (1.0 / n + mx * mx / sxx))')} AS intercept_se, {fx('sxy * sxy / sxx / syy')} AS r2, n,
+  {fx('st')} AS slope_t, {fx('it')} AS intercept_t, {fx('sp.high')} AS slope_p, {fx('ip.high')} AS intercept_p
+FROM z JOIN sp USING (o_orderpriority, o_orderstatus) JOIN ip USING (o_orderpriority, o_orderstatus)""",
     "two_sample": f"""
 WITH raw AS (SELECT c_mktsegment, o_orderstatus AS arm, o_totalprice, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS day
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O')),
@@ -254,10 +272,11 @@ s AS (SELECT *, v1 / v2 AS f, CAST(n1 + n2 - 2 AS DOUBLE) AS df_pooled,
 w AS (SELECT s.*, least(1.0, 2 * least(low, high)) AS p_f FROM s JOIN ft USING (c_mktsegment, measure)),
 x AS (SELECT *, CASE WHEN p_f < 0.05 THEN 'welch' ELSE 'pooled' END AS choice, CASE WHEN p_f < 0.05 THEN t_welch ELSE t_pooled END AS t,
     CASE WHEN p_f < 0.05 THEN df_welch ELSE df_pooled END AS df FROM w),
-{f_tail_sql('x', '(t * t)', '1', 'df', 'c_mktsegment, measure', 'tt')}
+{f_tail_sql('x', '(t * t)', '1', 'df', 'c_mktsegment, measure', 'tt')},
+{f_quantile_sql('x', '(n1 - 1)', '(n2 - 1)', 'c_mktsegment, measure', (0.025, 0.975), 'fq')}
 SELECT c_mktsegment, measure, n1, n2, choice, """ + ", ".join(
         f"{fx(c)} AS {c}" for c in ["m1", "m2", "f", "t_pooled", "df_pooled", "t_welch", "df_welch", "t", "df", "p_f"])
-    + f", {fx('high')} AS p_t FROM x JOIN tt USING (c_mktsegment, measure)",
+    + f", {fx('high')} AS p_t, {fx('f / q1')} AS f_lo, {fx('f / q0')} AS f_hi FROM x JOIN tt USING (c_mktsegment, measure) JOIN fq USING (c_mktsegment, measure)",
     "strict_aggregates": f"""
 WITH t AS (SELECT l_orderkey, nullif(l_tax, 0.08) AS tax FROM lineitem)
 SELECT l_orderkey, CASE WHEN count(tax) = count(*) THEN max(tax) END AS strict_max, max(tax) AS loose_max,

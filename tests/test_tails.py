@@ -50,3 +50,12 @@ def test_gamma_functions():
     np.testing.assert_allclose(lg, [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
     np.testing.assert_allclose(dg[1], -0.5772156649015329, rtol=1e-12)
     np.testing.assert_allclose(nbfit.trigamma(2.0), math.pi**2 / 6 - 1, rtol=1e-12)
+
+
+def test_f_quantiles_invert_the_tail_row_by_row():
+    rng = np.random.default_rng(3)
+    p, d1, d2 = np.r_[rng.uniform(0.001, 0.999, 60), 0.025, 0.975, 1e-9], np.r_[rng.integers(1, 400, 60), 1, 1, 3], np.r_[rng.integers(1, 400, 60), 1, 2, 900]
+    q = tails.f_quantiles(p, d1, d2)
+    np.testing.assert_allclose(tails.f_lower(q, d1, d2), p, rtol=1e-9)
+    np.testing.assert_allclose(q[:5], [tails.f_quantile(*map(float, v)) for v in zip(p[:5], d1[:5], d2[:5])], rtol=1e-9)
+    assert np.isnan(tails.f_quantiles([0.0, 1.0, 0.5], [1, 1, 0], [1, 1, 1])).all()
