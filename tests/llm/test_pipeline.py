@@ -50,3 +50,24 @@ def test_run(spark):
     got = corpus_pipeline.run(spark, D).collect()
     counts = Counter(r.shard for r in got)
     assert len(got) > 20 and max(counts.values()) - min(counts[s] for s in range(8)) <= 1
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, docs_of):
+    text = "the house of the old man and the dog was in the wood by the river, and it was there that the children of the town would play "
+    rows = [(i, text + f"number {i} " * 9, "en", "s") for i in range(12)] + [(3, text + "number 3 " * 9, "en", "s")] * 2
+    rows += [(None, text + "without an id", "en", None), (None, None, None, None), (50, None), (51, ""), (52, " \t "), (53, "12 34 !?")]
+    odd, none = docs_of(rows), docs_of([])
+    for name, stage in corpus_pipeline.STAGES:
+        got, empty = stage(spark, odd, D), stage(spark, none, D)
+        assert empty.collect() == [] and empty.columns == got.columns
+        kept = got.collect()
+        if name == "shard":
+            assert len(kept) == len(rows)
+        else:
+            assert got.columns == odd.columns and {(r.doc_id, r.text) for r in kept} <= {r[:2] for r in rows}
+        if name == "language":
+            assert all(r.text and any(c.isalpha() for c in r.text) for r in kept) and sum(r.doc_id == 3 for r in kept) == 3
+        if name == "near_dedup":
+            assert sum(r.doc_id == 3 for r in kept) <= 1 and sum(r.doc_id is None for r in kept) == 2 and sum(r.doc_id in (50, 51, 52) for r in kept) == 1
+        if name == "decontaminate":
+            assert len(kept) == len(rows)
