@@ -1,4 +1,8 @@
-"""Near-duplicates by Jaccard similarity of word shingles, without a lost pair.
+"""Near-duplicates by SimHash, verified by the Jaccard similarity of word shingles, without a lost pair.
+
+Candidates come from the fingerprints first: sets whose texts have fingerprints within ``RADIUS`` bits are found by the generalised pigeonhole search of ``simhash``, and
+verified. At a similarity of 4/5 two fingerprints may differ in ten bits and more, which no search over 64 bits covers. The links that they do not show are
+found by a prefix filter, among the sets that are not joined yet.
 
 Two sets whose Jaccard similarity is at least 4/5 share at least 4/5 of either; so, with all shingles in one fixed order, they share
 one among the first n - ceil(4 n / 5) + 1 of each set of n (prefix filter). Only these are stored and met. Any fixed order is right;
@@ -6,7 +10,8 @@ shingles that are common in a bounded sample come last, so that buckets of unrel
 
 Most of these shingles stand in one document only. They are found first, on shortened hashes (which can only let too many through), and never take part in a join.
 What is left is a bucket per shingle. In every bucket all sets are compared with one of them; sets that are joined by then need no further comparison
-within a bucket, and all other pairs of a bucket are compared, in crowded buckets after a few more rounds with one set each.
+within a bucket, and all other pairs of a bucket are compared, in crowded buckets after a few more rounds with one set each. These are drawn anew in every bucket and round: sets that
+share many buckets meet many others, and few are left that are not joined.
 
 A comparison is first made on sketches: a set's shingles are dealt to about as many bits, each the parity of its shingles' number. Two sketches cannot differ in more bits than
 their sets differ in shingles, so a pair whose sketches differ too much is none; the longer of two sketches is folded to the length of the other, half upon half. All other pairs
@@ -25,10 +30,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayframe.llm.common import durable, whole_row
 from assayframe.llm.components import components
-from assayframe.llm.simhash import CROWD, LOWER
+from assayframe.llm.simhash import CROWD, LOWER, fingerprint, near_links
 from assayframe.operators.joins import attach_group_values
 
 WIDTH = 5
+#: Bits in which fingerprints of candidates may differ.
+RADIUS = 2
 #: Documents in which common shingles are counted, how many must hold one, and how many are put last.
 SAMPLE, COMMON, LAST = 10_000, 3, 200_000
 #: Fewest bits of a sketch.
@@ -39,8 +46,10 @@ BUCKET, CHUNK = 1 << 18, 1 << 20
 HELD = 8_000_000
 #: From so many shingles on they are not shortened.
 WIDE = 1 << 28
-#: Comparisons of crowded buckets with one of their sets.
-ROUNDS = 3
+#: Rounds of crowded buckets: with one of their sets each, and in the last round with all that are not joined yet.
+ROUNDS = 2
+#: Shingles of crowded buckets that a set carries, so that a pair that shares many of them is compared once.
+LISTED = 64
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -103,7 +112,7 @@ def _common(docs: DataFrame) -> np.ndarray:
     n = docs.count()
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 40)))
     top = some.select("text").mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(LAST)
-    return np.sort(np.array([r["shingle"] for r in top.collect()], dtype=np.int64))
+    return np.sort(top.toArrow()["shingle"].to_numpy().astype(np.int64))
 
 
 def _repeated(rows: DataFrame, entries: int, wide: bool) -> DataFrame:
@@ -201,11 +210,27 @@ def _close(x: str, y: str) -> Column:
     return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
 
-def _grouped(met: DataFrame, found: DataFrame) -> DataFrame:
-    """``met`` with the ``group`` its sets are joined to so far, without buckets whose sets are all joined, and with one set of each bucket as ``_one``."""
-    joined = durable(components(found))
+def _alike(rows: DataFrame, crowd: int) -> DataFrame:
+    """Pairs (a, b) of sets whose texts have the same fingerprint, or fingerprints within ``RADIUS`` bits."""
+    prints = durable(rows.select("sig", "fp").distinct())
+    first = durable(prints.groupBy("fp").agg(F.min("sig").alias("rep")))
+    same = prints.join(first.hint("merge"), "fp").where("sig <> rep").select(F.col("sig").alias("a"), F.col("rep").alias("b"))
+    # One set may stand for several fingerprints, as equal sets can have texts of different order.
+    near = near_links(first.select(F.col("fp").alias("rep"), "fp"), RADIUS, crowd)
+    for end in ("a", "b"):
+        near = near.join(first.select(F.col("fp").alias(end), F.col("rep").alias(f"_{end}")).hint("merge"), end).drop(end)
+    return same.unionByName(near.where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
+def _grouped(met: DataFrame, found: DataFrame, step: int = 0) -> DataFrame:
+    """``met`` with the ``group`` its sets are joined to so far, without buckets whose sets are all joined, and with one set of each bucket as ``_one``.
+
+    From step 1 on this set is drawn by a hash of bucket and step.
+    """
+    drawn = F.xxhash64("sig", "shingle", F.lit(step)) if step else F.col("sig")
+    joined = components(found)
     met = met.join(joined.withColumnRenamed("node", "sig").hint("merge"), "sig", "left").select("shingle", "sig", "n", F.coalesce("component", "sig").alias("group"))
-    split = met.groupBy("shingle").agg(F.min("group").alias("_low"), F.max("group").alias("_top"), F.min(F.struct("sig", "n", "group")).alias("_one"), F.count(F.lit(1)).alias("m")).where("_low <> _top")
+    split = met.groupBy("shingle").agg(F.min("group").alias("_low"), F.max("group").alias("_top"), F.min(F.struct(drawn.alias("drawn"), "sig", "n", "group")).alias("_one"), F.count(F.lit(1)).alias("m")).where("_low <> _top")
     return durable(met.join(split.select("shingle", "_one", "m").hint("merge"), "shingle"))
 
 
@@ -214,15 +239,24 @@ def _with_one(met: DataFrame) -> DataFrame:
     return met.where(other & _close("n", "_one.n")).select(F.col("sig").alias("a"), F.col("_one.sig").alias("b"))
 
 
+def _all_pairs(met: DataFrame) -> DataFrame:
+    """All pairs of sets of one bucket and different groups. A pair is made in the first bucket that both sets list, or in each that is not after it."""
+    listed = met.groupBy("sig").agg(F.slice(F.sort_array(F.collect_list("shingle")), 1, LISTED).alias("listed"))
+    met = durable(met.select("shingle", "sig", "n", "group").join(listed.hint("merge"), "sig"))
+    other = met.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("sig", "n", "group", "listed")])
+    once = F.coalesce(F.array_min(F.array_intersect("listed", "_listed")), F.col("shingle")) >= F.col("shingle")
+    return met.join(other.hint("merge"), "shingle").where((F.col("sig") < F.col("_sig")) & (F.col("group") != F.col("_group")) & _close("n", "_n") & once).select(F.col("sig").alias("a"), F.col("_sig").alias("b"))
+
+
 def links(docs: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Verified links (a, b) between sets, enough to join every pair with a similarity of at least 4/5.
 
-    ``docs`` (key, doc_id, text) and ``rows`` (key, sig, n, bits, first: the prefix) describe the same documents.
+    ``docs`` (key, doc_id, text) and ``rows`` (key, sig, n, bits, fp: the fingerprint, first: the prefix) describe the same documents.
     """
     known = durable(rows.groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    empty = known.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
-    met = _grouped(_met(rows), empty)
-    found = _verified(_with_one(met), docs, known)
+    found = _verified(_alike(rows.where("n > 0"), crowd), docs, known)
+    met = _grouped(_met(rows), found)
+    found = durable(found.unionByName(_verified(_with_one(met), docs, known)))
     met = _grouped(met.where(F.col("sig") != F.col("_one.sig")).select("shingle", "sig", "n"), found)
 
     small = met.where(F.col("m") <= crowd).groupBy("shingle").agg(F.collect_list(F.struct("sig", "n", "group")).alias("e"))
@@ -232,14 +266,13 @@ def links(docs: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     crowded = met.where(F.col("m") > crowd)
     found = durable(found.unionByName(_verified(pairs.unionByName(_with_one(crowded)), docs, known)))
     for step in range(1, ROUNDS + 1):
-        crowded = _grouped(crowded.where(F.col("sig") != F.col("_one.sig")).select("shingle", "sig", "n"), found)
+        crowded = _grouped(crowded.where(F.col("sig") != F.col("_one.sig")).select("shingle", "sig", "n"), found, step)
         if crowded.isEmpty():
             break
         if step < ROUNDS:
             pairs = _with_one(crowded)
         else:
-            left, right = crowded.drop("_one", "m"), crowded.select("shingle", F.col("sig").alias("_sig"), F.col("n").alias("_n"), F.col("group").alias("_group"))
-            pairs = left.join(right.hint("merge"), "shingle").where((F.col("sig") < F.col("_sig")) & (F.col("group") != F.col("_group")) & _close("n", "_n")).select(F.col("sig").alias("a"), F.col("_sig").alias("b"))
+            pairs = _all_pairs(crowded)
         found = durable(found.unionByName(_verified(pairs, docs, known)))
     return found
 
@@ -254,15 +287,16 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 sets = [shingles(t.as_py()) for t in part.column(2)]
                 sig = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+                fp = np.array([fingerprint(t.as_py()) for t in part.column(2)], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sig), pa.array([len(s) for s in sets], pa.int32()),
-                                                  pa.array([sketch(s) for s in sets], pa.binary()), pa.array([prefix(s, common.value) for s in sets], pa.list_(pa.int64()))],
-                                                 names=["key", "doc_id", "sig", "n", "bits", "first"])
+                                                  pa.array([sketch(s) for s in sets], pa.binary()), pa.array(fp), pa.array([prefix(s, common.value) for s in sets], pa.list_(pa.int64()))],
+                                                 names=["key", "doc_id", "sig", "n", "bits", "fp", "first"])
 
-    rows = durable(texts.mapInArrow(run, "key long, doc_id long, sig long, n int, bits binary, first array<long>"))
+    rows = durable(texts.mapInArrow(run, "key long, doc_id long, sig long, n int, bits binary, fp long, first array<long>"))
     found = durable(components(links(texts, rows, crowd)).withColumnRenamed("node", "sig"))
     # Copies share a key of this join; they are spread by their place in the written table.
     numbered = rows.select("key", "doc_id", "sig", F.monotonically_increasing_id().alias("_place"))

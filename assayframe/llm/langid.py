@@ -129,8 +129,10 @@ def identify(docs: DataFrame, model: Model, *keep: Column, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             last = b.num_columns - 1
-            names, sure = shared.value.scores(b.column(last).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(names, pa.string()), pa.array(sure)], names=[*b.schema.names[:last], "lang_pred", "score"])
+            for at in range(0, b.num_rows, 256):  # a part at a time, so that a task holds few texts as strings
+                part = b.slice(at, 256)
+                names, sure = shared.value.scores(part.column(last).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(names, pa.string()), pa.array(sure)], names=[*b.schema.names[:last], "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 

@@ -20,6 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group joined by a Jaccard similarity of five-word shingles of at least 0.8; of rows with this id, one.
 
+    SimHash fingerprints propose, the shingles decide; links that fingerprints do not show are found by a prefix filter.
     Null and blank texts are one group. Rows without an id stay.
     """
     return jaccard.keep_first(docs)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from assayframe.llm import jaccard
+from assayframe.llm import jaccard, simhash
 
 
 def slow_set(text, width=5):
@@ -70,3 +70,35 @@ def test_shortened_and_joined_shingles(docs_of, monkeypatch):
         for name, value in changes.items():
             monkeypatch.setattr(jaccard, name, value)
         assert sorted(r.doc_id for r in jaccard.keep_first(docs_of(rows)).collect()) == want, changes
+
+
+def test_fingerprints_propose_and_the_sets_decide(docs_of, monkeypatch):
+    """Near copies within two bits are joined by the fingerprints alone; texts of one fingerprint and other sets are not."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 600)]
+    copies = [" ".join([*base[:k], "other", *base[k + 1:]]) for k in range(40, 560, 40)]
+    rows = list(enumerate([" ".join(base), *copies, "a few other words that stand alone in here"], 1))
+    monkeypatch.setattr(jaccard, "fingerprint", lambda text: 7)  # candidates that the verification has to sort out
+    assert sorted(r.doc_id for r in jaccard.keep_first(docs_of(rows)).collect()) == slow_kept(rows) == [1, len(rows)]
+    monkeypatch.undo()
+    proposed = []
+    alike, empty = jaccard._alike, jaccard._met
+    monkeypatch.setattr(jaccard, "_alike", lambda r, crowd: proposed.append(alike(r, crowd)) or proposed[-1])
+    monkeypatch.setattr(jaccard, "_met", lambda r: empty(r).limit(0))  # without the prefix filter
+    kept = sorted(r.doc_id for r in jaccard.keep_first(docs_of([*rows, (90, " ".join(base) + " "), (91, copies[0])])).collect())
+    group = {d: d for d, _ in rows}
+    for d, t in rows:
+        for e, u in rows:
+            if (simhash.fingerprint(t) ^ simhash.fingerprint(u)).bit_count() <= 2:
+                low, top = sorted((group[d], group[e]))
+                group = {k: low if g == top else g for k, g in group.items()}
+    assert kept == sorted(set(group.values())) and 2 < len(kept) < 9 and proposed[0].count() >= len(rows) - len(kept)
+
+
+
+def test_crowded_pairs_are_made_once(spark):
+    """Sets that share many buckets are paired in one of them; no pair is lost."""
+    sets = {s: (s % 3, {k for k in range(200) if (k * s) % 7 != 3}) for s in range(1, 30)}
+    met = spark.createDataFrame([(k, s, 100, g) for s, (g, ks) in sets.items() for k in ks], "shingle long, sig long, n int, group long")
+    got = [tuple(r) for r in jaccard._all_pairs(met).collect()]
+    assert sorted(got) == sorted((a, b) for a in sets for b in sets if a < b and sets[a][0] != sets[b][0])
