@@ -13,6 +13,11 @@ What is left is a bucket per shingle. In every bucket all sets are compared with
 within a bucket, and all other pairs of a bucket are compared, in crowded buckets after a few more rounds with one set each. These are drawn anew in every bucket and round: sets that
 share many buckets meet many others, and few are left that are not joined.
 
+Buckets that are crowded even then (many versions of one text) are met by what their sets do not have in common. The middle of a cluster of such buckets holds the shingles of over half of its
+sets, and D is what a set of n shingles and the middle differ in. Two sets are alike exactly when 9 |Da ^ Db| <= na + nb, that is when 18 |Da & Db| >= wa + wb with w = 9 |D| - n. So all pairs with
+wa + wb <= 0 are alike, and joined by links to the set of the smallest w. The others share one of the first |D| - o + 1 differences each, rarest first, where o is the least number that they must share;
+a set's o is known from its own w and the smallest w of the sets that are not joined to it.
+
 A comparison is first made on sketches: a set's shingles are dealt to about as many bits, each the parity of its shingles' number. Two sketches cannot differ in more bits than
 their sets differ in shingles, so a pair whose sketches differ too much is none; the longer of two sketches is folded to the length of the other, half upon half. All other pairs
 are verified on the whole sets, which are made anew from the texts of these documents alone.
@@ -46,7 +51,7 @@ BUCKET, CHUNK = 1 << 18, 1 << 20
 HELD = 8_000_000
 #: From so many shingles on they are not shortened.
 WIDE = 1 << 28
-#: Rounds of crowded buckets: with one of their sets each, and in the last round with all that are not joined yet.
+#: Rounds of crowded buckets: with one of their sets each, and in the last round all that are not joined yet.
 ROUNDS = 2
 #: Shingles of crowded buckets that a set carries, so that a pair that shares many of them is compared once.
 LISTED = 64
@@ -248,6 +253,57 @@ def _all_pairs(met: DataFrame) -> DataFrame:
     return met.join(other.hint("merge"), "shingle").where((F.col("sig") < F.col("_sig")) & (F.col("group") != F.col("_group")) & _close("n", "_n") & once).select(F.col("sig").alias("a"), F.col("_sig").alias("b"))
 
 
+def _differing(met: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(cluster, sig, n, group, w, apart) for the sets of ``met``: ``apart`` is what a set and the middle of its cluster differ in. Buckets of one ``_one`` are a cluster."""
+    each = durable(met.select(F.col("_one.sig").alias("cluster"), "sig", "n", "group").distinct())
+    sets = _sets(docs, durable(known.join(each.select("sig").distinct().hint("merge"), "sig").select("sig", "key")))
+    sizes = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("_all"))
+    each = durable(attach_group_values(each, sizes, ["cluster"], ["sig"]).join(sets.hint("merge"), "sig"))
+    held = each.select("cluster", "_all", F.explode("hashes").alias("shingle")).groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("_held"), F.first("_all").alias("_all"))
+    middle = held.where("2 * _held > _all").groupBy("cluster").agg(F.collect_list("shingle").alias("_middle"))
+    each = attach_group_values(each, middle, ["cluster"], ["sig"]).withColumn("_middle", F.coalesce("_middle", F.array().cast("array<long>")))
+    each = each.withColumn("apart", F.concat(F.array_except("hashes", "_middle"), F.array_except("_middle", "hashes")))
+    return durable(each.select("cluster", "sig", "n", "group", (9 * F.size("apart") - F.col("n")).alias("w"), "apart"))
+
+
+def _rarest_first(each: DataFrame) -> DataFrame:
+    """(cluster, sig, first): the first ``size`` of the differences of each set, those that few sets of the cluster have first, without those that no other has."""
+    rows = each.select("cluster", "sig", "size", F.explode("apart").alias("shingle"))
+    often = rows.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
+    rows = attach_group_values(rows, often, ["cluster", "shingle"], ["sig"])
+    ordered = rows.groupBy("cluster", "sig").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct(F.coalesce("_often", F.lit(1)).alias("often"), "shingle"))).alias("all"))
+    return ordered.select("cluster", "sig", F.posexplode(F.slice("all", F.lit(1), F.col("size"))).alias("rank", "x")).where("x.often > 1").select("cluster", "sig", "rank", "x.shingle")
+
+
+def _by_middle(met: DataFrame, found: DataFrame, docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that are certain, and the pairs that are left to verify, enough to join all alike sets of the buckets of ``met`` (see ``_grouped``)."""
+    each = _differing(met, docs, known)
+    least = each.groupBy("cluster").agg(F.min(F.struct("w", "sig")).alias("_least"))
+    certain = attach_group_values(each.drop("apart"), least, ["cluster"], ["sig"]).where((F.col("w") + F.col("_least.w") <= 0) & (F.col("sig") != F.col("_least.sig")))
+    certain = durable(certain.select(F.col("sig").alias("a"), F.col("_least.sig").alias("b")))
+    joined = components(found.unionByName(certain))
+    each = durable(each.join(joined.withColumnRenamed("node", "sig").hint("merge"), "sig", "left").withColumn("group", F.coalesce("component", "group")).drop("component"))
+
+    # The smallest w of the other groups of a cluster.
+    low = durable(each.groupBy("cluster", "group").agg(F.min("w").alias("_w")))
+    low = attach_group_values(low, low.groupBy("cluster").agg(F.min(F.struct("_w", "group")).alias("_low")), ["cluster"], ["group"])
+    second = low.where(F.col("group") != F.col("_low.group")).groupBy("cluster").agg(F.first("_low").alias("_low"), F.min("_w").alias("_second"))
+    each = attach_group_values(each, second, ["cluster"], ["sig"]).where("_second IS NOT NULL")
+    other = F.when(F.col("group") == F.col("_low.group"), F.col("_second")).otherwise(F.col("_low._w"))
+    must = lambda w: F.greatest(F.lit(1), F.ceil((F.col("w") + F.greatest(other, w)) / 18))
+    # The set of the smaller w of a pair shows the first of its differences; the w of both can lie apart by twice the size of one of them.
+    each = each.select("cluster", "sig", "n", "group", "w", "apart", (F.size("apart") - must(F.col("w")) + 1).alias("shown"), F.greatest(F.lit(0), F.size("apart") - must(F.col("w") - 5 * F.col("n") / 2) + 1).cast("int").alias("size"))
+    each = durable(each)
+    entries = _rarest_first(each.where("size > 0")).join(each.select("cluster", "sig", "n", "group", "w", "shown", F.size("apart").alias("_size")).hint("merge"), ["cluster", "sig"])
+    entries = durable(entries.select("cluster", "shingle", "sig", "n", "group", "w", (F.col("rank") < F.col("shown")).alias("shows"), (F.col("_size") - F.col("rank")).alias("left")))
+    other = entries.select("cluster", "shingle", *[F.col(c).alias(f"_{c}") for c in ("sig", "n", "group", "w", "left")])
+    # They can share no more than what is left of both from here on.
+    enough = F.col("w") + F.col("_w") <= 18 * F.least("left", "_left")
+    after = F.struct("w", "sig") < F.struct(F.col("_w").alias("w"), F.col("_sig").alias("sig"))
+    pairs = entries.where("shows").join(other.hint("merge"), ["cluster", "shingle"]).where(after & (F.col("group") != F.col("_group")) & _close("n", "_n") & enough)
+    return certain, pairs.select(F.col("sig").alias("a"), F.col("_sig").alias("b"))
+
+
 def links(docs: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Verified links (a, b) between sets, enough to join every pair with a similarity of at least 4/5.
 
@@ -266,13 +322,16 @@ def links(docs: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     crowded = met.where(F.col("m") > crowd)
     found = durable(found.unionByName(_verified(pairs.unionByName(_with_one(crowded)), docs, known)))
     for step in range(1, ROUNDS + 1):
-        crowded = _grouped(crowded.where(F.col("sig") != F.col("_one.sig")).select("shingle", "sig", "n"), found, step)
+        # The last step takes one and the same set for all buckets that hold it, if it can.
+        crowded = _grouped(crowded.where(F.col("sig") != F.col("_one.sig")).select("shingle", "sig", "n"), found, step % ROUNDS)
         if crowded.isEmpty():
             break
         if step < ROUNDS:
             pairs = _with_one(crowded)
         else:
-            pairs = _all_pairs(crowded)
+            certain, pairs = _by_middle(crowded.where(F.col("m") > crowd), found, docs, known)
+            found = found.unionByName(certain)
+            pairs = pairs.unionByName(_all_pairs(crowded.where(F.col("m") <= crowd)))
         found = durable(found.unionByName(_verified(pairs, docs, known)))
     return found
 

@@ -102,3 +102,50 @@ def test_crowded_pairs_are_made_once(spark):
     met = spark.createDataFrame([(k, s, 100, g) for s, (g, ks) in sets.items() for k in ks], "shingle long, sig long, n int, group long")
     got = [tuple(r) for r in jaccard._all_pairs(met).collect()]
     assert sorted(got) == sorted((a, b) for a in sets for b in sets if a < b and sets[a][0] != sets[b][0])
+
+
+def versions(rng, n, most):
+    """Versions of one text, most of them too far from each other for a link, some with a passage that other texts have too."""
+    base, passage = [f"w{x}" for x in rng.integers(0, 500, 120)], " ".join(f"p{k}" for k in range(14))
+    texts = [edited(rng, base, int(rng.integers(1, most))) + (" " + passage if i % 9 == 0 else "") for i in range(n)]
+    return texts + [f"{passage} " + " ".join(f"v{x}" for x in rng.integers(0, 300, 12)) for _ in range(n // 5)]
+
+
+def test_many_versions_of_a_text_are_not_compared_pair_by_pair(docs_of, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = list(enumerate(versions(rng, 300, 7), 1))
+    asked, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *more: asked.append(pairs.distinct().count()) or verified(pairs, *more))
+    kept = sorted(r.doc_id for r in jaccard.keep_first(docs_of(rows)).collect())
+    assert kept == slow_kept(rows)
+    assert len(asked) == 5 and asked[-1] < len(rows) < len(kept) ** 2 // 50
+
+
+def test_middle_loses_no_pair(spark, docs_of):
+    """Certain links and pairs left to verify join all alike sets of a bucket, whatever their groups and sizes are."""
+    rng = np.random.default_rng(13)
+    for n, most in ((70, 4), (70, 12)):
+        texts = [*versions(rng, n, most), *(" ".join(f"w{x}" for x in rng.integers(0, 9, k)) for k in range(5, 30))]
+        docs = jaccard._texts(docs_of(list(enumerate(texts))))
+        sets = {s.tobytes(): (i, s) for i, s in enumerate(map(jaccard.shingles, texts))}
+        sig = {i: k for k, (i, _) in enumerate(sets.values())}
+        keys = {r.doc_id: r.key for r in docs.collect()}
+        known = spark.createDataFrame([(sig[i], keys[i], len(s)) for i, s in sets.values()], "sig long, key long, n int")
+        one = min(sig.values())
+        met = spark.createDataFrame([(7, sig[i], len(s), sig[i] % 60, (one,)) for i, s in sets.values()], "shingle long, sig long, n int, group long, _one struct<sig: long>")
+        none = spark.createDataFrame([], "a long, b long")
+        groups = spark.createDataFrame([(k, k % 60) for k in sig.values() if k >= 60], "a long, b long")
+        certain, pairs = jaccard._by_middle(met, none.unionByName(groups), docs, known)
+        alike = {(sig[i], sig[j]) for i, s in sets.values() for j, t in sets.values() if i < j and 9 * len(np.intersect1d(s, t)) >= 4 * (len(s) + len(t))}
+        certain, pairs = ({tuple(sorted(r)) for r in d.collect()} for d in (certain, pairs))
+        assert certain <= alike
+        group = {k: k % 60 for k in sig.values()}
+
+        def join(links):
+            for a, b in links:
+                low, top = sorted((group[a], group[b]))
+                group.update({k: low for k, g in group.items() if g == top})
+
+        join(certain)
+        join(pairs & alike)
+        assert all(group[a] == group[b] for a, b in alike) and (most > 4 or certain)
