@@ -13,7 +13,7 @@ What is left is a bucket per shingle. In every bucket all sets are compared with
 within a bucket, and all other pairs of a bucket are compared, in crowded buckets after a few more rounds with one set each. These are drawn anew in every bucket and round: sets that
 share many buckets meet many others, and few are left that are not joined.
 
-Buckets that are crowded even then (many versions of one text) are met by what their sets do not have in common. The middle of a cluster of such buckets holds the shingles of over half of its
+Buckets that are far larger even then (many versions of one text) are met by what their sets do not have in common. The middle of a cluster of such buckets holds the shingles of over half of its
 sets, and D is what a set of n shingles and the middle differ in. Two sets are alike exactly when 9 |Da ^ Db| <= na + nb, that is when 18 |Da & Db| >= wa + wb with w = 9 |D| - n. So all pairs with
 wa + wb <= 0 are alike, and joined by links to the set of the smallest w. The others share one of the first |D| - o + 1 differences each, rarest first, where o is the least number that they must share;
 a set's o is known from its own w and the smallest w of the sets that are not joined to it.
@@ -53,6 +53,8 @@ HELD = 8_000_000
 WIDE = 1 << 28
 #: Rounds of crowded buckets: with one of their sets each, and in the last round all that are not joined yet.
 ROUNDS = 2
+#: From so many times a crowded bucket's size on, buckets are met by their middle; the pairs of smaller ones are at most half as many to each of their sets.
+LARGE = 4
 #: Shingles of crowded buckets that a set carries, so that a pair that shares many of them is compared once.
 LISTED = 64
 
@@ -329,9 +331,9 @@ def links(docs: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
         if step < ROUNDS:
             pairs = _with_one(crowded)
         else:
-            certain, pairs = _by_middle(crowded.where(F.col("m") > crowd), found, docs, known)
+            certain, pairs = _by_middle(crowded.where(F.col("m") > LARGE * crowd), found, docs, known)
             found = found.unionByName(certain)
-            pairs = pairs.unionByName(_all_pairs(crowded.where(F.col("m") <= crowd)))
+            pairs = pairs.unionByName(_all_pairs(crowded.where(F.col("m") <= LARGE * crowd)))
         found = durable(found.unionByName(_verified(pairs, docs, known)))
     return found
 
