@@ -6,7 +6,8 @@ found by a prefix filter, among the sets that are not joined yet.
 
 Two sets whose Jaccard similarity is at least 4/5 share at least 4/5 of either; so, with all shingles in one fixed order, they share
 one among the first n - ceil(4 n / 5) + 1 of each set of n (prefix filter). Only these are stored and met. Any fixed order is right;
-shingles that are common in a bounded sample come last, so that buckets of unrelated documents are rare.
+common shingles come last, the commonest at the end, so that buckets of unrelated documents are rare: those of a bounded sample, and those that
+turn up more than ``crowd`` times among the first shingles of all documents, counted over twice as many as a prefix has, so that a set can go past its common ones.
 
 Most of these shingles stand in one document only. They are found first, on shortened hashes (which can only let too many through), and never take part in a join.
 What is left is a bucket per shingle. In every bucket all sets are compared with one of them; sets that are joined by then need no further comparison
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayframe.llm.common import durable, whole_row
 from assayframe.llm.components import components
@@ -43,6 +44,10 @@ WIDTH = 5
 RADIUS = 2
 #: Documents in which common shingles are counted, how many must hold one, and how many are put last.
 SAMPLE, COMMON, LAST = 10_000, 3, 200_000
+#: How many times a prefix's shingles of every document are counted, how often a task counts one at most in a chunk, and how many are ranked (5 bytes each in every task).
+AHEAD, OFTEN, RANKED = 2, 64, 4_000_000
+#: Documents up to which common shingles are of one rank.
+VERY = 1024
 #: Fewest bits of a sketch.
 SKETCH = 1024
 #: Shingles that one task looks for repeats among, and how many are dealt out at once.
@@ -72,13 +77,22 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((hashed(view[s:e]) for s, e in zip(starts.tolist(), last.tolist())), dtype=np.uint64, count=len(last)).view(np.int64))
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles in the fixed order: those not in ``common`` (sorted) by hash, then the others by hash."""
-    n = len(hashes)
-    if len(common) and n:
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        hashes = hashes[np.argsort(common[at] == hashes, kind="stable")]
-    return hashes[:n - (4 * n + 4) // 5 + 1] if n else hashes
+def cut(hashes: np.ndarray) -> np.ndarray:
+    """Shortened hashes."""
+    return (hashes.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+
+
+def prefix(hashes: np.ndarray, order: tuple[np.ndarray, np.ndarray], times: int = 1) -> np.ndarray:
+    """The first shingles in the fixed order, ``times`` as many as the filter needs.
+
+    ``order``: shortened hashes (sorted) and their ranks. Shingles of no rank come first, then those of the lowest; those of one rank by hash.
+    """
+    n, (cuts, ranks) = len(hashes), order
+    if len(cuts) and n:
+        own = cut(hashes)
+        at = np.minimum(np.searchsorted(cuts, own), len(cuts) - 1)
+        hashes = hashes[np.argsort(np.where(cuts[at] == own, ranks[at], 0), kind="stable")]
+    return hashes[:times * (n - (4 * n + 4) // 5 + 1)] if n else hashes
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -109,8 +123,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _common(docs: DataFrame) -> np.ndarray:
-    """Shingles that stand in several documents of a bounded sample, sorted."""
+def _ranks(cuts: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shortened hashes and a rank for each: 1 up to ``VERY`` documents, then one more for each time twice as many."""
+    by_cut = np.lexsort((-often, cuts))
+    cuts, first = np.unique(cuts[by_cut], return_index=True)
+    return cuts, 1 + np.ceil(np.log2(np.maximum(often[by_cut][first] / VERY, 1))).astype(np.uint8)
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several documents of a bounded sample, shortened, and in how many of all documents by this sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0):
@@ -119,14 +140,62 @@ def _common(docs: DataFrame) -> np.ndarray:
     n = docs.count()
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 40)))
     top = some.select("text").mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(LAST)
-    return np.sort(top.toArrow()["shingle"].to_numpy().astype(np.int64))
+    top = top.toArrow()
+    return cut(top["shingle"].to_numpy().astype(np.int64)), top["count"].to_numpy() * max(1.0, n / SAMPLE)
+
+
+def _parts(values: np.ndarray, shift: int) -> pa.RecordBatch:
+    """Sorted numbers dealt to buckets by their top bits: (bucket, values)."""
+    bits = values.dtype.itemsize * 8
+    bucket = (values >> values.dtype.type(shift)).astype(np.int64) if shift < bits else np.zeros(len(values), dtype=np.int64)
+    names, starts = np.unique(bucket, return_index=True)
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array([p.tobytes() for p in np.split(values, starts[1:])], pa.binary())], names=["bucket", "values"])
+
+
+def _buckets(entries: int) -> int:
+    return 1 << min(20, max(0, (entries // BUCKET).bit_length()))
+
+
+def _order(docs: DataFrame, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``prefix``: common shingles of a sample, and of the first shingles of all documents those met more than ``crowd`` times, by how often they are met.
+
+    It says only which shingles come first; any order finds every pair.
+    """
+    common, n_common = _common(docs)
+    begin = docs.sparkSession.sparkContext.broadcast(_ranks(common, n_common))
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    shift = 32 - _buckets(size * AHEAD // 25).bit_length() + 1  # a word and its space have five bytes or more, and a prefix a fifth of the shingles
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def rows_of() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            return _parts(np.repeat(values, np.minimum(n, OFTEN)), shift)
+
+        size = 0
+        for b in batches:
+            for t in b.column(0):
+                held.append(cut(prefix(shingles(t.as_py()), begin.value, AHEAD)))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield rows_of()
+                    held, size = [], 0
+        if size:
+            yield rows_of()
+
+    def often(key: tuple, table: pa.Table) -> pa.Table:
+        values, n = np.unique(np.concatenate([np.frombuffer(v.as_py(), dtype=np.uint32) for v in table["values"]]), return_counts=True)
+        return pa.table({"cut": values[n > crowd].astype(np.int64), "n": n[n > crowd].astype(np.int64)})
+
+    found = docs.select("text").mapInArrow(deal, "bucket long, values binary").groupBy("bucket").applyInArrow(often, "cut long, n long")
+    top = durable(found).orderBy(F.desc("n"), "cut").limit(RANKED).toArrow()
+    return _ranks(np.concatenate([common, top["cut"].to_numpy().astype(np.uint32)]), np.concatenate([n_common, top["n"].to_numpy()]))
 
 
 def _repeated(rows: DataFrame, entries: int, wide: bool) -> DataFrame:
     """(cut): shortened hashes that stand in the prefixes of two rows or more; copies of a row count too."""
-    bits = 64 if wide else 32
-    buckets = 1 << min(20, max(0, (entries // BUCKET).bit_length()))
-    shift = bits - buckets.bit_length() + 1
+    shift = (64 if wide else 32) - _buckets(entries).bit_length() + 1
     kind = np.uint64 if wide else np.uint32
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,16 +203,12 @@ def _repeated(rows: DataFrame, entries: int, wide: bool) -> DataFrame:
 
         def rows_of() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            values = np.repeat(values, np.minimum(n, 2))  # what repeats here is handed on twice
-            bucket = (values >> kind(shift)).astype(np.int64) if shift < bits else np.zeros(len(values), dtype=np.int64)
-            names, starts = np.unique(bucket, return_index=True)
-            parts = [p.tobytes() for p in np.split(values, starts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(parts, pa.binary())], names=["bucket", "values"])
+            return _parts(np.repeat(values, np.minimum(n, 2)), shift)  # what repeats here is handed on twice
 
         size = 0
         for b in batches:
-            values = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            held.append(values if wide else (values >> np.uint64(32)).astype(np.uint32))
+            values = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            held.append(values.view(np.uint64) if wide else cut(values))
             size += len(values)
             if size >= CHUNK:
                 yield rows_of()
@@ -158,9 +223,8 @@ def _repeated(rows: DataFrame, entries: int, wide: bool) -> DataFrame:
     return durable(rows.select("first").mapInArrow(deal, "bucket long, values binary").groupBy("bucket").applyInArrow(repeats, "cut long"))
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """(shingle, sig, n) for the shingles that stand in the prefixes of two different sets or more."""
-    entries = rows.agg(F.sum(F.size("first"))).head()[0] or 0
+def _standing(rows: DataFrame, entries: int, carried: list[str]) -> DataFrame:
+    """(shingle, *carried) for the ``entries`` in the lists ``first`` whose shortened hashes stand in two rows or more."""
     wide = entries >= WIDE
     cuts = _repeated(rows, entries, wide)
     if cuts.count() <= HELD:
@@ -169,20 +233,23 @@ def _met(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = held.value
             for b in batches:
-                first = b.column(2)
+                first = b.column(0)
                 shingle = first.flatten().to_numpy(zero_copy_only=False)
                 value = shingle.view(np.uint64) if wide else shingle.view(np.uint64) >> np.uint64(32)
                 at = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
                 hit = known[at] == value if len(known) else np.zeros(len(value), dtype=bool)
-                owner = np.repeat(np.arange(b.num_rows), first.value_lengths().to_numpy(zero_copy_only=False))[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[hit]), b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner))], names=["shingle", "sig", "n"])
-
-        met = rows.select("sig", "n", "first").mapInArrow(run, "shingle long, sig long, n int")
-    else:
-        each = rows.select("sig", "n", F.explode("first").alias("shingle"))
-        cut = F.col("shingle") if wide else F.shiftrightunsigned("shingle", 32)
-        met = each.withColumn("cut", cut).join(cuts.hint("merge"), "cut").select("shingle", "sig", "n")
-    met = durable(met.distinct())
+                owner = pa.array(np.repeat(np.arange(b.num_rows), first.value_lengths().to_numpy(zero_copy_only=False))[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[hit]), *(c.take(owner) for c in b.columns[1:])], names=["shingle", *carried])
+
+        rows = rows.select("first", *carried)
+        return rows.mapInArrow(run, T.StructType([T.StructField("shingle", T.LongType()), *rows.schema.fields[1:]]))
+    each = rows.select(*carried, F.explode("first").alias("shingle"))
+    return each.withColumn("cut", F.col("shingle") if wide else F.shiftrightunsigned("shingle", 32)).join(cuts.hint("merge"), "cut").select("shingle", *carried)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(shingle, sig, n) for the shingles that stand in the prefixes of two different sets or more."""
+    met = durable(_standing(rows, rows.agg(F.sum(F.size("first"))).head()[0] or 0, ["sig", "n"]).distinct())
     shared = met.groupBy("shingle").agg(F.min("sig").alias("_low"), F.max("sig").alias("_top")).where("_low <> _top").select("shingle")
     return durable(met.join(shared.hint("merge"), "shingle"))
 
@@ -265,23 +332,24 @@ def _differing(met: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     middle = held.where("2 * _held > _all").groupBy("cluster").agg(F.collect_list("shingle").alias("_middle"))
     each = attach_group_values(each, middle, ["cluster"], ["sig"]).withColumn("_middle", F.coalesce("_middle", F.array().cast("array<long>")))
     each = each.withColumn("apart", F.concat(F.array_except("hashes", "_middle"), F.array_except("_middle", "hashes")))
-    return durable(each.select("cluster", "sig", "n", "group", (9 * F.size("apart") - F.col("n")).alias("w"), "apart"))
+    return durable(each.select("cluster", "sig", "n", "group", F.size("apart").alias("differs"), (9 * F.size("apart") - F.col("n")).alias("w"), "apart"))
 
 
 def _rarest_first(each: DataFrame) -> DataFrame:
-    """(cluster, sig, first): the first ``size`` of the differences of each set, those that few sets of the cluster have first, without those that no other has."""
-    rows = each.select("cluster", "sig", "size", F.explode("apart").alias("shingle"))
-    often = rows.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
-    rows = attach_group_values(rows, often, ["cluster", "shingle"], ["sig"])
-    ordered = rows.groupBy("cluster", "sig").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct(F.coalesce("_often", F.lit(1)).alias("often"), "shingle"))).alias("all"))
-    return ordered.select("cluster", "sig", F.posexplode(F.slice("all", F.lit(1), F.col("size"))).alias("rank", "x")).where("x.often > 1").select("cluster", "sig", "rank", "x.shingle")
+    """(cluster, sig, shared): for each row of ``each`` (cluster, sig, apart) the differences that another row of its cluster has too, those that few have first."""
+    entries = each.select(F.col("sig").alias("_sig"), "cluster", F.transform("apart", lambda x: x.bitwiseXOR(F.xxhash64("cluster"))).alias("first"))
+    entries = _standing(entries, entries.agg(F.sum(F.size("first"))).head()[0] or 0, ["cluster", "_sig"])
+    often = entries.groupBy("cluster", "shingle").agg(F.collect_list("_sig").alias("_sigs")).where(F.size("_sigs") > 1)
+    rows = often.select("cluster", F.size("_sigs").alias("often"), F.col("shingle").bitwiseXOR(F.xxhash64("cluster")).alias("shingle"), F.explode("_sigs").alias("sig"))
+    return rows.groupBy("cluster", "sig").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
 
 
 def _by_middle(met: DataFrame, found: DataFrame, docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that are certain, and the pairs that are left to verify, enough to join all alike sets of the buckets of ``met`` (see ``_grouped``)."""
-    each = _differing(met, docs, known)
+    whole = _differing(met, docs, known)
+    each = whole.drop("apart")
     least = each.groupBy("cluster").agg(F.min(F.struct("w", "sig")).alias("_least"))
-    certain = attach_group_values(each.drop("apart"), least, ["cluster"], ["sig"]).where((F.col("w") + F.col("_least.w") <= 0) & (F.col("sig") != F.col("_least.sig")))
+    certain = attach_group_values(each, least, ["cluster"], ["sig"]).where((F.col("w") + F.col("_least.w") <= 0) & (F.col("sig") != F.col("_least.sig")))
     certain = durable(certain.select(F.col("sig").alias("a"), F.col("_least.sig").alias("b")))
     joined = components(found.unionByName(certain))
     each = durable(each.join(joined.withColumnRenamed("node", "sig").hint("merge"), "sig", "left").withColumn("group", F.coalesce("component", "group")).drop("component"))
@@ -294,10 +362,14 @@ def _by_middle(met: DataFrame, found: DataFrame, docs: DataFrame, known: DataFra
     other = F.when(F.col("group") == F.col("_low.group"), F.col("_second")).otherwise(F.col("_low._w"))
     must = lambda w: F.greatest(F.lit(1), F.ceil((F.col("w") + F.greatest(other, w)) / 18))
     # The set of the smaller w of a pair shows the first of its differences; the w of both can lie apart by twice the size of one of them.
-    each = each.select("cluster", "sig", "n", "group", "w", "apart", (F.size("apart") - must(F.col("w")) + 1).alias("shown"), F.greatest(F.lit(0), F.size("apart") - must(F.col("w") - 5 * F.col("n") / 2) + 1).cast("int").alias("size"))
-    each = durable(each)
-    entries = _rarest_first(each.where("size > 0")).join(each.select("cluster", "sig", "n", "group", "w", "shown", F.size("apart").alias("_size")).hint("merge"), ["cluster", "sig"])
-    entries = durable(entries.select("cluster", "shingle", "sig", "n", "group", "w", (F.col("rank") < F.col("shown")).alias("shows"), (F.col("_size") - F.col("rank")).alias("left")))
+    size = F.greatest(F.lit(0), F.col("differs") - must(F.col("w") - 5 * F.col("n") / 2) + 1).cast("int")
+    each = durable(each.select("cluster", "sig", "n", "group", "w", "differs", (F.col("differs") - must(F.col("w")) + 1).alias("shown"), size.alias("size")).where("size > 0"))
+    shared = _rarest_first(whole.select("cluster", "sig", "apart").join(each.select("cluster", "sig").hint("merge"), ["cluster", "sig"]))
+    # Differences that no other set has come before these.
+    alone = F.col("differs") - F.size("shared")
+    entries = shared.join(each.hint("merge"), ["cluster", "sig"]).where(F.col("size") > alone).withColumn("_alone", alone)
+    entries = entries.select("cluster", "sig", "n", "group", "w", "shown", "differs", "_alone", F.posexplode(F.slice("shared", F.lit(1), F.col("size") - F.col("_alone"))).alias("_at", "_x")).withColumn("rank", F.col("_alone") + F.col("_at"))
+    entries = durable(entries.select("cluster", "_x.shingle", "sig", "n", "group", "w", (F.col("rank") < F.col("shown")).alias("shows"), (F.col("differs") - F.col("rank")).alias("left")))
     other = entries.select("cluster", "shingle", *[F.col(c).alias(f"_{c}") for c in ("sig", "n", "group", "w", "left")])
     # They can share no more than what is left of both from here on.
     enough = F.col("w") + F.col("_w") <= 18 * F.least("left", "_left")
@@ -344,7 +416,7 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     ``key`` is a hash of id and text. Null and blank texts have no shingles and are one group.
     """
     texts = _texts(docs).where("doc_id IS NOT NULL")
-    common = docs.sparkSession.sparkContext.broadcast(_common(texts))
+    order = docs.sparkSession.sparkContext.broadcast(_order(texts, crowd))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -354,7 +426,7 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
                 sig = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
                 fp = np.array([fingerprint(t.as_py()) for t in part.column(2)], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sig), pa.array([len(s) for s in sets], pa.int32()),
-                                                  pa.array([sketch(s) for s in sets], pa.binary()), pa.array(fp), pa.array([prefix(s, common.value) for s in sets], pa.list_(pa.int64()))],
+                                                  pa.array([sketch(s) for s in sets], pa.binary()), pa.array(fp), pa.array([prefix(s, order.value) for s in sets], pa.list_(pa.int64()))],
                                                  names=["key", "doc_id", "sig", "n", "bits", "fp", "first"])
 
     rows = durable(texts.mapInArrow(run, "key long, doc_id long, sig long, n int, bits binary, fp long, first array<long>"))

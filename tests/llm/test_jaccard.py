@@ -149,3 +149,17 @@ def test_middle_loses_no_pair(spark, docs_of):
         join(certain)
         join(pairs & alike)
         assert all(group[a] == group[b] for a, b in alike) and (most > 4 or certain)
+
+
+def test_shared_passages_do_not_crowd_buckets(docs_of, monkeypatch):
+    """Unrelated texts with a passage that no sample shows as common do not end in large buckets; pairs among them are found."""
+    rng = np.random.default_rng(14)
+    passage = [f"p{k}" for k in range(24)]
+    texts = [" ".join([f"own{i}_{k}" for k in range(70 + i % 40)] + passage) for i in range(90)]
+    texts += [edited(rng, texts[i].split(), 2) for i in range(0, 90, 30)] + [" ".join(passage), edited(rng, [*passage, "other"], 1)]
+    rows = list(enumerate(texts, 1))
+    met, by_middle = [], jaccard._by_middle
+    monkeypatch.setattr(jaccard, "COMMON", 1 << 30)
+    monkeypatch.setattr(jaccard, "_by_middle", lambda m, *more: met.append(m.count()) or by_middle(m, *more))
+    assert sorted(r.doc_id for r in jaccard.keep_first(docs_of(rows)).collect()) == slow_kept(rows)
+    assert sum(met) == 0
